@@ -1 +1 @@
-"""folioflow.streaming"""
+"""folioflow.streaming: enrichment of arriving images, each asked once."""
