@@ -31,8 +31,8 @@ SHINGLE = 5
 NUM, DEN = 4, 5  # the threshold: intersection / union >= NUM / DEN
 #: Groups of more classes go to the blocked comparison.
 SMALL_GROUP = 48
+#: Classes of one side of a block, about.
 BLOCK = 512
-BINS = 64
 
 
 class Band:
@@ -94,14 +94,33 @@ def signatures(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def histogram(s: np.ndarray) -> np.ndarray:
-    """How many features fall in each bin, 255 at most; the sum of differences of two is at most the sets' difference."""
-    return np.bincount((mix(s) >> U64(58)).astype(np.int64), minlength=BINS).clip(max=255).astype(np.uint8)
+def histogram(s: np.ndarray) -> bytes:
+    """How many features fall in each bin, modulo 16, two bins to a byte; a power of two of bins, so that few hold more than 16."""
+    bits = max(8, math.ceil(math.log2(max(len(s), 1) / 8)))
+    h = (np.bincount((mix(s) >> U64(64 - bits)).astype(np.int64), minlength=1 << bits) & 15).astype(np.uint8)
+    return (h[0::2] << 4 | h[1::2]).tobytes()
+
+
+def opened(blobs: list[bytes]) -> np.ndarray:
+    """Histograms as rows of bins, all folded to the fewest bins among them (neighbours added)."""
+    least = min(map(len, blobs), default=0) * 2
+    if len(set(map(len, blobs))) <= 1:
+        x = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
+        return np.stack((x >> 4, x & 15), 2).reshape(len(blobs), -1)
+    out = np.empty((len(blobs), least), np.uint8)
+    for i, blob in enumerate(blobs):
+        x = np.frombuffer(blob, np.uint8)
+        out[i] = np.stack((x >> 4, x & 15), 1).reshape(least, -1).sum(1, dtype=np.uint8) & 15
+    return out
 
 
 def may_reach(n: np.ndarray, h: np.ndarray, m: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Whether sets of n and m features with histograms h and g can reach the threshold; never wrongly false."""
-    apart = np.abs(h.astype(np.int16) - g.astype(np.int16)).sum(-1, dtype=np.int64)
+    """Whether sets of n and m features with (opened) histograms h and g can reach the threshold; never wrongly false.
+
+    Bins differ at least by their distance modulo 16, and the sum over bins is at most the sets' difference.
+    """
+    d = (h - g) & 15
+    apart = np.minimum(d, 16 - d).sum(-1, dtype=np.int64)
     return (np.minimum(n, m) * DEN >= np.maximum(n, m) * NUM) & (apart * (NUM + DEN) <= (n + m) * (DEN - NUM))
 
 
@@ -109,10 +128,12 @@ def reaches(both: int | np.ndarray, a, b):
     return both * DEN >= NUM * (a + b - both)
 
 
-def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, links): doc_id, hi, lo and n_shingles of each row; and (a, b) pairs of linked classes' keys.
+def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, classes, links).
 
-    A class is named by (hi, lo). Links hold each pair once, of different classes only.
+    members: doc_id, hi, lo and n_shingles of each row; (hi, lo) names a class. classes:
+    hi, lo, n, rep (its least doc_id), copies, h. links: (a, a_lo, b, b_lo), each pair of
+    different classes once.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
@@ -127,14 +148,16 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             hi = np.array([k[0] for k in keys], U64).view(np.int64)
             lo = np.array([k[1] for k in keys], U64).view(np.int64)
             size = np.array([len(s) for s in sets], np.int64)
-            yield _rows(0, [0], [b""], ids=ids, hi=hi, lo=lo, size=size)
-            sigs, own = [], []
+            sigs, own, sketches = [], [], []
             for s, k in zip(sets, keys):
-                if len(s) and k not in seen:
+                fresh = len(s) > 0 and k not in seen
+                sketches.append(histogram(s) if fresh else None)
+                if fresh:
                     seen.add(k)
                     g = signatures(s)
                     sigs.append(g)
                     own.append(np.full(len(g), k[0], U64))
+            yield _rows(0, [], sketches, ids=ids, hi=hi, lo=lo, size=size)
             if len(seen) > 500_000:
                 seen.clear()
             if sigs:
@@ -147,7 +170,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             kind = batch.column(0).to_numpy()
             keep = batch.filter(pa.array(kind == 0))
             if keep.num_rows:
-                yield _meeting(0, keep.num_rows, ids=keep.column(3), hi=keep.column(4), lo=keep.column(5), size=keep.column(6))
+                yield _meeting(0, keep.num_rows, ids=keep.column(3), hi=keep.column(4), lo=keep.column(5), size=keep.column(6), h=keep.column(2))
             for blob in batch.filter(pa.array(kind == 1)).column(2).to_pylist():
                 k, o = unpack(blob, "u8", "u8")
                 keys.append(k)
@@ -193,20 +216,23 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield _meeting(2, len(part[r : r + (1 << 16)]), hi=np.full(len(part[r : r + (1 << 16)]), k[at[g]].view(np.int64)), lo=part[r : r + (1 << 16)])
 
     packed = map_arrow(texts(docs), emit, "kind int, bucket int, data binary, doc_id long, hi long, lo long, size long")
-    met = map_arrow(packed.repartition(parts, F.when(F.col("kind") == 1, F.col("bucket").cast("long")).otherwise(F.col("lo"))), meet, "kind int, doc_id long, hi long, lo long, size long")
+    met = map_arrow(packed.repartition(parts, F.when(F.col("kind") == 1, F.col("bucket").cast("long")).otherwise(F.col("lo"))), meet, "kind int, doc_id long, hi long, lo long, size long, h binary")
     met = stored(met, "similar-met")
 
     members = met.filter("kind = 0").select("doc_id", "hi", "lo", F.col("size").alias("n_shingles"))
-    classes = members.filter("n_shingles > 0").groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    pairs = met.filter("kind = 1").select(F.col("hi").alias("a"), F.col("lo").alias("b"))
+    classes = met.filter("kind = 0 and size > 0").groupBy("hi", "lo").agg(F.max("size").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("h").alias("h"))
+    classes = stored(classes, "similar-classes")
+    pairs = met.filter("kind = 1").select(F.col("hi").alias("a"), F.col("lo").alias("b")).distinct()
+    near = _screened(pairs, classes)
     crowded = met.filter("kind = 2").select(F.col("hi").alias("sig"), F.col("lo").alias("o"))
-    wanted = pairs.select(F.col("a").alias("o")).union(pairs.select(F.col("b"))).union(crowded.select("o")).distinct()
-    sets = stored(_sets_of(docs, wanted, classes), "similar-sets")
     if crowded.head(1):
-        pairs = pairs.union(_crowded_pairs(crowded, sets))
-    links = stored(_verified(pairs.distinct(), sets), "similar-links")
-    forget(sets)
-    return members, links
+        near = near.union(_crowded_pairs(crowded, classes))
+    ends = [F.struct(F.col(x).alias("hi"), F.col(f"{x}_lo").alias("lo")) for x in "ab"]
+    near = near.select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).distinct()  # one order of each pair
+    near = stored(near.select(F.col("p.hi").alias("a"), F.col("p.lo").alias("a_lo"), F.col("q.hi").alias("b"), F.col("q.lo").alias("b_lo")), "similar-near")
+    links = stored(_verified(docs, near, classes), "similar-links")
+    forget(near)
+    return members, classes, links
 
 
 def _distinct(p: np.ndarray) -> np.ndarray:
@@ -220,14 +246,15 @@ def _rows(kind: int, buckets, blobs, ids=None, hi=None, lo=None, size=None) -> p
     n = len(ids) if ids is not None else len(buckets)
     none = pa.nulls(n, pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), pa.array(np.zeros(n, np.int32) if ids is not None else buckets, pa.int32()), pa.nulls(n, pa.binary()) if ids is not None else pa.array(blobs, pa.binary())]
+        [pa.array(np.full(n, kind, np.int32)), pa.array(np.zeros(n, np.int32) if ids is not None else buckets, pa.int32()), pa.array(blobs, pa.binary())]
         + [none if c is None else c if isinstance(c, pa.Array) else pa.array(c) for c in (ids, hi, lo, size)],
         ["kind", "bucket", "data", "doc_id", "hi", "lo", "size"],
     )
 
 
-def _meeting(kind: int, n: int, ids=None, hi=None, lo=None, size=None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *[pa.nulls(n, pa.int64()) if c is None else c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in (ids, hi, lo, size)]], ["kind", "doc_id", "hi", "lo", "size"])
+def _meeting(kind: int, n: int, ids=None, hi=None, lo=None, size=None, h=None) -> pa.RecordBatch:
+    numbers = [pa.nulls(n, pa.int64()) if c is None else c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in (ids, hi, lo, size)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *numbers, pa.nulls(n, pa.binary()) if h is None else h], ["kind", "doc_id", "hi", "lo", "size", "h"])
 
 
 def _bitmap(ids: DataFrame, bits: int = 24) -> bytes:
@@ -259,109 +286,124 @@ def _bitmap(ids: DataFrame, bits: int = 24) -> bytes:
     return out.tobytes()
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
-    """(hi, lo, n, features, h) of the wanted classes, from one document each.
-
-    A bitmap of fixed size lets the tasks that read the documents leave out nearly all
-    others before any text is hashed; what it lets through by chance joins nothing.
-    """
-    spark = docs.sparkSession
-    reps = classes.join(wanted, classes["hi"] == wanted["o"], "left_semi").select("rep", "hi", "lo")
-    bitmap = spark.sparkContext.broadcast(_bitmap(reps.select("rep")))
+def _screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, a_lo, b, b_lo) of the pairs (a, b) of labels that sizes and histograms don't rule out."""
+    side = lambda x: classes.select(F.col("hi").alias(x), F.col("lo").alias(f"{x}_lo"), F.col("n").alias(f"{x}_n"), F.col("h").alias(f"{x}_h"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"least(a_n, b_n) * {DEN} >= greatest(a_n, b_n) * {NUM}").select("a", "a_lo", "b", "b_lo", "a_n", "b_n", "a_h", "b_h")
 
-    def run(batches):
-        bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).view(bool)
-        shift = U64(64 - int(math.log2(len(bits))))
-        done: set[tuple[int, int]] = set()
+    def screen(batches):
         for batch in batches:
-            col = batch.column(0)
-            x = col.fill_null(0).to_numpy().view(U64)
-            ok = bits[(mix(x) >> shift).astype(np.int64)] | col.is_null().to_numpy(zero_copy_only=False)
-            for part, raws in slices([batch.filter(pa.array(ok))]):
-                sets = shingle_sets(raws)
-                ids = part.column(0).to_pylist()
-                rows = [(i, *class_key(s), s) for i, s in zip(ids, sets) if len(s)]
-                rows = [r for r in rows if (r[0], r[1]) not in done and not done.add((r[0], r[1]))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array(np.array([r[1] for r in rows], U64).view(np.int64)), pa.array(np.array([r[2] for r in rows], U64).view(np.int64)), pa.array([len(r[3]) for r in rows], pa.int64()), pa.array([r[3].tobytes() for r in rows], pa.binary()), pa.array([histogram(r[3]).tobytes() for r in rows], pa.binary())],
-                    ["doc_id", "hi", "lo", "n", "features", "h"],
-                )
-
-    found = map_arrow(texts(docs), run, "doc_id long, hi long, lo long, n long, features binary, h binary")
-    reps = reps.withColumnsRenamed({"hi": "r_hi", "lo": "r_lo"})
-    on = found["doc_id"].eqNullSafe(reps["rep"]) & (found["hi"] == reps["r_hi"]) & (found["lo"] == reps["r_lo"])
-    return found.join(reps, on, "left_semi").drop("doc_id").dropDuplicates(["hi", "lo"])
-
-
-def _crowded_pairs(crowded: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of the classes that share a crowded signature and may reach the threshold.
-
-    A group's classes are numbered within blocks by size; only blocks whose sizes are
-    compatible meet, each two in a task of their own.
+            if batch.num_rows:
+                ok = np.zeros(batch.num_rows, bool)
+                n, m = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+                left, right = batch.column(6).to_pylist(), batch.column(7).to_pylist()
+                fewest = np.fromiter((min(len(x), len(y)) for x, y in zip(left, right)), np.int64, len(left))
+                for width in np.unique(fewest):  # pairs of about the same size together
+                    at = np.flatnonzero(fewest == width)
+                    for k in range(0, len(at), max(1, (1 << 22) // int(width))):
+                        now = at[k : k + max(1, (1 << 22) // int(width))]
+                        both = opened([left[i] for i in now] + [right[i] for i in now])
+                        ok[now] = may_reach(n[now], both[: len(now)], m[now], both[len(now) :])
+                yield batch.select(["a", "a_lo", "b", "b_lo"]).filter(pa.array(ok))
+
+    return map_arrow(both, screen, "a long, a_lo long, b long, b_lo long")
+
+
+def _crowded_pairs(crowded: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of the classes that share a crowded signature and that sizes and histograms don't rule out.
+
+    A group is cut by size class and, within these, into blocks; only blocks of size
+    classes that may link meet, each two in a task of their own.
     """
-
-    sketches = sets.select(F.col("hi").alias("c"), "n", "h")
-    # classes with equal keys but for `lo` share a label; both are compared
-    member = crowded.join(sketches, crowded["o"] == sketches["c"]).select("sig", "c", "n", "h")
-    # a block is a slice of a size class, so that groups of any size spread
-    member = member.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)))).withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(64)).cast("int"))
-    blocks = member.groupBy("sig", "step").agg(F.count("*").alias("many")).withColumn("width", F.least(F.lit(64), F.ceil(F.col("many") / BLOCK)).cast("int"))
-    member = member.join(blocks.select("sig", "step", "width"), ["sig", "step"]).withColumn("block", F.pmod(F.col("salt"), F.col("width")))
-    own = blocks.select("sig", "step", "width")
-    # left: a block; right: blocks of its own size class and the next two, which cover 1 / threshold
-    reach = own.select("sig", F.col("step").alias("l_step"), F.col("width").alias("l_width"), F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step")).join(own.withColumnRenamed("width", "r_width"), ["sig", "step"]).withColumnRenamed("step", "r_step")
+    member = crowded.join(classes.select(F.col("hi").alias("o"), "hi", "lo", "n", "h"), "o").drop("o")
+    # two sizes that may link are at most one step apart; a second one allows for rounding
+    member = member.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))))
+    own = member.groupBy("sig", "step").agg(F.count("*").alias("many")).select("sig", "step", F.ceil(F.col("many") / BLOCK).cast("int").alias("width"))
+    member = member.join(own, ["sig", "step"]).withColumn("block", F.pmod(F.xxhash64("hi", "lo"), F.col("width")).cast("int"))
+    reach = own.select("sig", F.col("step").alias("l_step"), F.col("width").alias("l_width"), F.explode(F.array(F.col("step"), F.col("step") + 1, F.col("step") + 2)).alias("step")).join(own.withColumnRenamed("width", "r_width"), ["sig", "step"]).withColumnRenamed("step", "r_step")
     cells = reach.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("l_width") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("r_width") - 1))).filter("l_step != r_step or i <= j").select("sig", "l_step", "i", "r_step", "j")
-    left = cells.join(member.withColumnsRenamed({"step": "l_step", "block": "i"}), ["sig", "l_step", "i"]).select("sig", "l_step", "i", "r_step", "j", F.lit(0).alias("side"), "c", "n", "h")
-    right = cells.filter("l_step != r_step or i != j").join(member.withColumnsRenamed({"step": "r_step", "block": "j"}), ["sig", "r_step", "j"]).select("sig", "l_step", "i", "r_step", "j", F.lit(1).alias("side"), "c", "n", "h")
+    cells = cells.withColumn("cell", F.xxhash64("sig", "l_step", "i", "r_step", "j"))
+    left = cells.join(member.withColumnsRenamed({"step": "l_step", "block": "i"}), ["sig", "l_step", "i"]).select("cell", F.lit(0).alias("side"), "hi", "lo", "n", "h", ((F.col("l_step") == F.col("r_step")) & (F.col("i") == F.col("j"))).alias("alone"))
+    right = cells.filter("l_step != r_step or i != j").join(member.withColumnsRenamed({"step": "r_step", "block": "j"}), ["sig", "r_step", "j"]).select("cell", F.lit(1).alias("side"), "hi", "lo", "n", "h", F.lit(False).alias("alone"))
 
-    def compare(key, table):
+    def compare(table):
         side = table.column("side").to_numpy()
-        c, n = table.column("c").to_numpy(), table.column("n").to_numpy()
-        h = np.frombuffer(b"".join(table.column("h").to_pylist()), np.uint8).reshape(-1, BINS)
+        hi, lo, n = (table.column(c).to_numpy() for c in ("hi", "lo", "n"))
+        h = opened(table.column("h").to_pylist())
         a = np.flatnonzero(side == 0)
-        alone = not (side == 1).any() and key[1].as_py() == key[3].as_py() and key[2].as_py() == key[4].as_py()
+        alone = bool(table.column("alone")[0].as_py()) if len(a) == len(side) else False
         b = a if alone else np.flatnonzero(side == 1)
-        out = []
+        out = [np.empty((0, 4), np.int64)]
         for p, i in enumerate(a):
             q = b[p + 1 :] if alone else b
-            q = q[(c[q] != c[i]) & may_reach(n[i], h[i], n[q], h[q])]
+            q = q[may_reach(n[i], h[i], n[q], h[q]) & ((hi[q] != hi[i]) | (lo[q] != lo[i]))]
             if len(q):
-                out.append(np.stack((np.minimum(c[i], c[q]), np.maximum(c[i], c[q])), 1))
-        got = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pa.table({"a": pa.array(np.ascontiguousarray(got[:, 0])), "b": pa.array(np.ascontiguousarray(got[:, 1]))})
-
-    return left.union(right).groupBy("sig", "l_step", "i", "r_step", "j").applyInArrow(compare, "a long, b long")
+                first = (hi[i] < hi[q]) | (hi[i] == hi[q]) & (lo[i] < lo[q])
+                out.append(np.stack((np.where(first, hi[i], hi[q]), np.where(first, lo[i], lo[q]), np.where(first, hi[q], hi[i]), np.where(first, lo[q], lo[i])), 1))
+        got = np.concatenate(out)
+        return pa.table({c: pa.array(np.ascontiguousarray(got[:, k])) for k, c in enumerate(("a", "a_lo", "b", "b_lo"))})
 
+    return left.union(right).groupBy("cell").applyInArrow(compare, "a long, a_lo long, b long, b_lo long")
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs of classes whose sets reach the threshold; sizes and histograms are held against each other before sets are joined."""
-    sizes = sets.select("hi", "lo", "n", "h")
-    left = sizes.withColumnsRenamed({"hi": "a", "lo": "a_lo", "n": "a_n", "h": "a_h"})
-    right = sizes.withColumnsRenamed({"hi": "b", "lo": "b_lo", "n": "b_n", "h": "b_h"})
-    near = pairs.join(left, "a").join(right, "b").filter(f"least(a_n, b_n) * {DEN} >= greatest(a_n, b_n) * {NUM}").select("a", "a_lo", "b", "b_lo", "a_n", "b_n", "a_h", "b_h")
-
-    def screen(batches):
-        for batch in batches:
-            h, g = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (6, 7))
-            ok = may_reach(batch.column(4).to_numpy(), h, batch.column(5).to_numpy(), g)
-            yield batch.select(["a", "a_lo", "b", "b_lo"]).filter(pa.array(ok))
 
-    sized = map_arrow(near, screen, "a long, a_lo long, b long, b_lo long")
-    a = sets.select(F.col("hi").alias("a"), F.col("lo").alias("a_lo"), F.col("features").alias("fa"))
-    b = sets.select(F.col("hi").alias("b"), F.col("lo").alias("b_lo"), F.col("features").alias("fb"))
-    both = sized.join(a, ["a", "a_lo"]).join(b, ["b", "b_lo"]).select("a", "a_lo", "b", "b_lo", "fa", "fb")
+def _verified(docs: DataFrame, near: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs of ``near`` whose sets reach the threshold.
 
-    def verify(batches):
+    Classes that pair with one another are put in blocks, by their least partner, and a
+    set goes once to each two blocks that hold a pair of it, not to each pair. Sets are
+    made again from the documents; a bitmap of fixed size lets the tasks that read these
+    leave out nearly all others, and what it lets through by chance joins nothing.
+    """
+    sc = docs.sparkSession.sparkContext
+    ends = near.select(F.col("a").alias("hi"), F.col("a_lo").alias("lo"), F.col("b").alias("other")).union(near.select("b", "b_lo", "a"))
+    led = ends.groupBy("hi", "lo").agg(F.least(F.min("other"), F.col("hi")).alias("leader"))
+    width = led.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("width"))
+    placed = stored(led.join(width, "leader").select("hi", "lo", F.xxhash64("leader", F.pmod(F.xxhash64("hi", "lo"), F.col("width"))).alias("block")).join(classes.select("hi", "lo", "rep"), ["hi", "lo"]), "similar-blocks")
+    side = lambda x: placed.select(F.col("hi").alias(x), F.col("lo").alias(f"{x}_lo"), F.col("block").alias(f"{x}_block"), F.col("rep").alias(f"{x}_rep"))
+    celled = near.join(side("a"), ["a", "a_lo"]).join(side("b"), ["b", "b_lo"]).withColumn("cell", F.xxhash64(F.least("a_block", "b_block"), F.greatest("a_block", "b_block")))
+    partner = F.struct(F.col("b").alias("hi"), F.col("b_lo").alias("lo"))
+    rows = celled.select("cell", F.col("a").alias("hi"), F.col("a_lo").alias("lo"), F.col("a_rep").alias("rep"), partner.alias("with")).union(celled.select("cell", "b", "b_lo", "b_rep", F.lit(None).cast("struct<hi: long, lo: long>")))
+    wanted = rows.groupBy("cell", "hi", "lo", "rep").agg(F.collect_list("with").alias("partners"))
+    bitmap = sc.broadcast(_bitmap(placed.select("rep")))
+
+    def sets(batches):
+        bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).view(bool)
+        shift = U64(64 - int(math.log2(len(bits))))
         for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+            col = batch.column(0)
+            x = col.fill_null(0).to_numpy().view(U64)
+            ok = bits[(mix(x) >> shift).astype(np.int64)] | col.is_null().to_numpy(zero_copy_only=False)
+            for part, raws in slices([batch.filter(pa.array(ok))]):
+                made = shingle_sets(raws)
+                keys = np.array([class_key(s) for s in made], U64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), pa.array([s.tobytes() for s in made], pa.binary())], ["doc_id", "hi", "lo", "features"])
+
+    found = map_arrow(texts(docs), sets, "doc_id long, hi long, lo long, features binary").alias("f")
+    w = wanted.alias("w")
+    on = F.col("f.doc_id").eqNullSafe(F.col("w.rep")) & (F.col("f.hi") == F.col("w.hi")) & (F.col("f.lo") == F.col("w.lo"))
+    ready = w.join(found, on).select("w.cell", "w.hi", "w.lo", "w.partners", "f.features")
+
+    def verify(table):
+        keys = list(zip(table.column("hi").to_pylist(), table.column("lo").to_pylist()))
+        held = {k: np.frombuffer(f.as_buffer(), U64) for k, f in zip(keys, table.column("features"))}
+        done, out = set(), []
+        for k, partners in zip(keys, table.column("partners").to_pylist()):
+            if k in done:  # a repeated row
+                continue
+            done.add(k)
+            x = held[k]
+            for p in partners:
+                y = held.get((p["hi"], p["lo"]))
+                if y is None:
+                    raise AssertionError("a set is missing from its cell")
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
-                ok[i] = reaches(int(np.count_nonzero(y[at] == x)), len(x), len(y))
-            yield batch.select(["a", "a_lo", "b", "b_lo"]).filter(pa.array(ok))
+                if reaches(int(np.count_nonzero(y[at] == x)), len(x), len(y)):
+                    out.append((*k, p["hi"], p["lo"]))
+        got = np.array(out, np.int64).reshape(-1, 4)
+        return pa.table({c: pa.array(np.ascontiguousarray(got[:, i])) for i, c in enumerate(("a", "a_lo", "b", "b_lo"))})
 
-    return map_arrow(both, verify, "a long, a_lo long, b long, b_lo long")
+    return ready.groupBy("cell").applyInArrow(verify, "a long, a_lo long, b long, b_lo long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -395,9 +437,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null doc_id never names a component unless all of it are null. An empty table gives
     no rows; other columns are not read.
     """
-    members, links = near_links(docs)
-    classes = members.filter("n_shingles > 0").groupBy("hi", "lo").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
-    classes = stored(classes.withColumn("node", F.xxhash64("hi", "lo")), "classes")
+    members, classes, links = near_links(docs)
+    classes = classes.select("hi", "lo", "copies", F.col("rep").alias("least"), F.xxhash64("hi", "lo").alias("node"))
     sides = links.select("a", "a_lo", "b", "b_lo").union(links.select("b", "b_lo", "a", "a_lo"))
     others = classes.select(F.col("hi").alias("b"), F.col("lo").alias("b_lo"), F.col("copies").alias("more"))
     linked = sides.join(others, ["b", "b_lo"]).groupBy(F.col("a").alias("hi"), F.col("a_lo").alias("lo")).agg(F.sum("more").alias("more"))
