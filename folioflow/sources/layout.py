@@ -27,9 +27,22 @@ DOMAINS = {
 }
 
 
+#: Results lie below folders of this name, which Spark's listing skips as hidden unless it is named, and so many levels down at most.
+DATA_FOLDER, DATA_LEVELS = "__data", 8
+
+
+def _data_folders(spark: SparkSession, path: str) -> list[str]:
+    found = []
+    for level in range(DATA_LEVELS):
+        pattern = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/*" * level + "/" + DATA_FOLDER)
+        fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+        found += [f.getPath().toString() for f in fs.globStatus(pattern) or [] if f.isDirectory()]
+    return found
+
+
 def scan(spark: SparkSession, path: str, file_name: str = "middle.json") -> DataFrame:
     """(doc_id, raw) of each layout file below a folder, found recursively; doc_id is the file's path."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_name).text(path, wholetext=True)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_name).text([path, *_data_folders(spark, path)], wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("raw"))
 
 
