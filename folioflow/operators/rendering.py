@@ -42,8 +42,8 @@ FOR_HTML = RenderOptions(unicode_math=True, understanding="html")
 _HIDDEN_UNLESS = {"header": "headers", "header_image": "headers", "footer": "footers", "footer_image": "footers", "page_number": "page_numbers", "page_footnote": "footnotes", "aside_text": "asides"}
 _TITLES = {"title": 2, "doc_title": 1, "paragraph_title": 2}
 _TEXTS = frozenset(
-    "text abstract header footer page_number page_footnote aside_text ref_text phonetic vertical_text caption footnote "
-    "image_caption table_caption chart_caption image_footnote table_footnote chart_footnote code_caption code_footnote algorithm_caption".split()
+    "abstract algorithm_caption aside_text caption chart_caption chart_footnote code_caption code_footnote footer footnote "
+    "header image_caption image_footnote page_footnote page_number phonetic ref_text table_caption table_footnote text vertical_text".split()
 )
 _MEDIA = frozenset("image image_body chart chart_body seal header_image footer_image".split())
 NO_TABLE = "<div>警告: HTMLのないテーブル</div>"
