@@ -44,10 +44,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--extractor", required=True)
     for name in ("backend", "method", "lang", "server-url"):
         c.add_argument(f"--{name}")
-    c.add_argument("--disable-seal", action="store_true")
-    c.add_argument("--disable-formula", action="store_true")
     c.add_argument("--limit", type=int, help="only the first files by path")
-    c.add_argument("--keep-going", action="store_true", help="report failed files and go on")
+    for name, text in (("disable-seal", None), ("disable-formula", None), ("keep-going", "report failed files and go on")):
+        c.add_argument(f"--{name}", action="store_true", help=text)
 
     r = sub.add_parser("render", help="layout files below a folder to Markdown and HTML")
     r.add_argument("folder")

@@ -16,8 +16,8 @@ RUN_SCHEMA = (
     "status struct<ok boolean, error string>, run struct<kind string, rag_value string, detail_level string, notes string, raw_text string, result struct<kind string, rag_value string, detail_level string, notes string>, "
     "usage struct<input_tokens bigint, output_tokens bigint, total_tokens bigint>, price struct<input_cost_usd double, output_cost_usd double, total_cost_usd double>>"
 )
-RAG = {"none": 0, "low": 1, "medium": 2, "high": 3}
-DETAIL = {"skip": 0, "short": 1, "long": 2, "extract_text": 3}
+RAG = dict(zip("none low medium high".split(), range(4)))
+DETAIL = dict(zip("skip short long extract_text".split(), range(4)))
 
 
 def labels(runs: DataFrame) -> DataFrame:

@@ -189,7 +189,7 @@ class Renderer:
 
 
 def source_link(path: str) -> str:
-    return f'<span class="source-image-link-row"><a href="{image_place(path)}" class="source-image-link">👁️‍🗨️</a></span>'
+    return '<span class="{0}-row"><a href="{1}" class="{0}">👁️‍🗨️</a></span>'.format("source-image-link", image_place(path))
 
 
 def first(b: dict, field: str):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.text import html_escaped, html_lines
 from folioflow.operators import evaluation
 
-FIELDS = ("pdf_path", "layout_path", "page_idx", "block_index", "block_type", "image_path", "caption", "nearby_text_before", "nearby_text_after", "section_title")
+FIELDS = tuple("pdf_path layout_path page_idx block_index block_type image_path caption nearby_text_before nearby_text_after section_title".split())
 _HEAD = '<!doctype html>\n<html lang="ja"><head><meta charset="utf-8"><title>{0}</title><style>section{{border-bottom:1px solid #bbb;margin:2em}}img{{max-width:50vw}}b{{margin-right:.5em}}</style></head><body><h1>{0}</h1>'
 _TAIL = "</body></html>"
 
@@ -90,7 +90,7 @@ def annotation_page(items: DataFrame, title: str) -> DataFrame:
     return _page(form.select(F.col("place").cast("long").alias("place"), "line").union(last), title)
 
 
-# --- numbers -----------------------------------------------------------------------
+# numbers
 
 
 def percent(x: float | None) -> str:
@@ -105,7 +105,7 @@ def dollars(x: float | None) -> str:
     return "-" if x is None else f"${x:.4f}" if x < 0.01 else f"${x:.3f}"
 
 
-# --- charts ------------------------------------------------------------------------
+# charts
 
 
 def _svg(width: int, height: int, title: str, body: list[str]) -> str:
@@ -141,7 +141,7 @@ def bar_chart(rows: list[tuple[str, list[float]]], title: str, names: list[str],
     return _svg(width, y + 20, title, body)
 
 
-# --- reports -----------------------------------------------------------------------
+# reports
 
 
 def _table(head: list[str], rows: list[list[str]]) -> list[str]:

@@ -13,8 +13,8 @@ from pyspark.sql.types import StringType
 from folioflow.functions.latex import math_string
 
 MODES = ("blank", "repeat", "keep_html")
-_TABLE = re.compile(r"<table\b[^>]*>.*?</table>", re.IGNORECASE | re.DOTALL)
-_EQ = re.compile(r"<eq>(.*?)</eq>", re.IGNORECASE | re.DOTALL)
+_TABLE = re.compile(r"(?is)<table\b[^>]*>.*?</table>")
+_EQ = re.compile(r"(?is)<eq>(.*?)</eq>")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 

@@ -34,7 +34,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-# --- layout blocks out of lines ----------------------------------------------------
+# layout blocks out of lines
 
 PAGE_LINES = 12
 
@@ -196,7 +196,7 @@ def lone_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("doc_id", F.try_variant_get(F.try_parse_json(text.without_lone_surrogates("raw")), "$.t", "string").alias("fixed"))
 
 
-# --- text functions ----------------------------------------------------------------
+# text functions
 
 
 @_query(rf"""
@@ -271,7 +271,7 @@ def data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", text.data_url(F.lit("a.PNG"), F.col("text").cast("binary")).alias("url"), F.sha2("text", 256).alias("digest"))
 
 
-# --- model runs out of events ------------------------------------------------------
+# model runs out of events
 
 _KINDS = layout.DOMAINS["kind"]
 _RAGS, _DETAILS = ("none", "low", "medium", "high"), ("skip", "short", "long", "extract_text")

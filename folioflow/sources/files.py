@@ -55,7 +55,7 @@ def extracted(pdfs: DataFrame, extract: Callable[[bytes, dict], str], options: d
     return pdfs.mapInPandas(run, schema)
 
 
-def backend_options(backend: str | None = None, method: str | None = None, lang: str | None = None, server_url: str | None = None, seal_enable: bool = True, formula_enable: bool = True, detect_engine: Callable[[], str] = lambda: "transformers") -> dict:
+def backend_options(backend=None, method=None, lang=None, server_url=None, seal_enable=True, formula_enable=True, detect_engine=lambda: "transformers") -> dict:
     """What goes to the extractor, and its tag. vlm backends take no method, language or formula switch; hybrid ones a prefixed method."""
     backend, method, lang = backend or "pipeline", method or "auto", lang or "japan"
     kind, _, engine = backend.partition("-")

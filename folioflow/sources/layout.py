@@ -21,9 +21,9 @@ MAX_DEPTH = 64
 
 DOMAINS = {
     "block_type": ("image", "chart", "seal"),
-    "kind": ("diagram", "table_or_form", "chart_or_graph", "ui_or_screenshot", "arrow_only", "code_symbol", "seal", "text_as_image", "decorative", "logo_or_mark", "other"),
-    "rag_value": ("high", "medium", "low", "none"),
+    "kind": tuple("arrow_only chart_or_graph code_symbol decorative diagram logo_or_mark other seal table_or_form text_as_image ui_or_screenshot".split()),
     "detail_level": ("skip", "short", "long"),
+    "rag_value": ("high", "medium", "low", "none"),
 }
 
 

@@ -8,6 +8,18 @@ from folioflow.operators.tables import expanded, table_markdown, tables_markdown
 from folioflow.sources import layout
 
 
+def html_table(*cells):
+    """Cells as "tag text" or "tag text|rowspan"; None begins a row."""
+    out = "<table><tr>"
+    for c in cells:
+        if c is None:
+            out += "</tr><tr>"
+            continue
+        (tag, _, text), down = c.partition("|")[0].partition(" "), c.partition("|")[2] or "1"
+        out += f'<{tag} rowspan="{down}">{text}</{tag}>'
+    return out + "</tr></table>"
+
+
 def sp(kind, content=None, **kw):
     return {"type": kind, "content": content, **kw}
 
@@ -21,10 +33,10 @@ def show(*blocks, opt=RenderOptions()):
 
 
 def test_plain_and_headed_tables():
-    assert table_markdown("<table><tr><td>A</td><td>B</td></tr></table>") == "|  |  |\n| --- | --- |\n| A | B |"
-    html = '<table><tr><th rowspan="2">Category</th><th>Q1</th></tr><tr><th>Q2</th></tr><tr><td>Sales</td><td>10</td></tr></table>'
-    assert table_markdown(html) == "| Category | Q1 |\n| --- | --- |\n| Category | Q2 |\n| Sales | 10 |"
-    assert table_markdown(html, "blank") == "| Category | Q1 |\n| --- | --- |\n|  | Q2 |\n| Sales | 10 |"
+    assert table_markdown(html_table("td p", "td q")) == "|  |  |\n| --- | --- |\n| p | q |"
+    html = html_table("th Item|2", "th May", None, "th June", None, "td Rent", "td 7")
+    assert table_markdown(html) == "| Item | May |\n| --- | --- |\n| Item | June |\n| Rent | 7 |"
+    assert table_markdown(html, "blank") == "| Item | May |\n| --- | --- |\n|  | June |\n| Rent | 7 |"
     assert table_markdown(html, "keep_html") is None and tables_markdown(html, "keep_html") == html
 
 
@@ -63,7 +75,7 @@ def test_media():
 
 
 def test_source_links():
-    table = bl("table", blocks=[bl("table_body", sp("table", html="<table><tr><td>A</td></tr></table>", image_path="t.png"))])
+    table = bl("table", blocks=[bl("table_body", sp("table", html=html_table("td A"), image_path="t.png"))])
     assert show(table).count("source-image-link\"") == 1
     assert "source-image" not in show(table, opt=RenderOptions(source_links=False))
 
