@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from folioflow.runtime import ship
 
-SLICE_BYTES = 2 << 20
+#: Bytes of text worked on at once: the arrays of a slice should stay in a core's cache.
+SLICE_BYTES = 512 << 10
 U64 = np.uint64
 
 #: [\x20\x09-\x0D] separates words.
@@ -60,7 +61,7 @@ def sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-# --- word hashes -------------------------------------------------------------------
+# word hashes
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -68,7 +69,7 @@ _BASE = 0x9E3779B97F4A7C15 | 5
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _pow = np.ones(1, U64)
 _ipow = np.ones(1, U64)
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,18 +142,17 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-# --- packed shuffles ---------------------------------------------------------------
+# packed shuffles
 
-BUCKETS = 1 << 12
 
-
-def bucket_of(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys) >> U64(52)).astype(np.int32)
+def buckets_for(partitions: int) -> int:
+    """How many buckets spread evenly over so many partitions; fewer to each where there are many, as pieces shrink."""
+    return max(64, partitions * (16 if partitions <= 1024 else 4))
 
 
 def pack(keys: np.ndarray, *columns: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed columns) pieces, sorted by bucket; ``groups`` buckets."""
-    b = (bucket_of(keys).astype(np.int64) * groups >> 12).astype(np.int32)
+    b = ((mix(keys) >> U64(32)) * U64(groups) >> U64(32)).astype(np.int32)
     order = np.argsort(b, kind="stable")
     b = b[order]
     cuts = np.flatnonzero(np.diff(b)) + 1

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import U64, hash_words, joined, map_arrow, mix, pack, slices, sum_by_key, texts, unpack
+from folioflow.llm.common import U64, buckets_for, hash_words, joined, map_arrow, mix, pack, slices, sum_by_key, texts, unpack
 from folioflow.runtime import shuffle_partitions, stored
 
 DEPTH = 4
@@ -49,7 +49,7 @@ def is_held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % FOLDS == FOLD
 
 
-# --- grams and trees ---------------------------------------------------------------
+# grams and trees
 
 
 def grams(raws: list[bytes | None], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +177,7 @@ class Tree:
         return out
 
 
-# --- training ----------------------------------------------------------------------
+# training
 
 
 class _Sums:
@@ -216,7 +216,7 @@ WORDS, GRAMS, NODES, TOP = 0, 1, 2, 3
 def gathered(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(kind, bucket, data) of training: word counts, nodes of depth two and more, and what they pass on to depth one."""
     parts = shuffle_partitions(docs.sparkSession)
-    groups = min(4096, max(64, parts * 4))
+    groups = buckets_for(parts)
 
     def emit(batches):
         words, codes = _Sums(), _Sums()
@@ -297,7 +297,7 @@ def in_block(branches: np.ndarray, block: int, blocks: int) -> np.ndarray:
     return mix(branches) % U64(blocks) == U64(block)
 
 
-# --- scoring -----------------------------------------------------------------------
+# scoring
 
 
 def word_tiers(model: DataFrame, most: int = FREQUENT_WORDS) -> tuple[int, int, int, np.ndarray, np.ndarray]:
@@ -355,7 +355,7 @@ def score(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES_IN_BLOCK, freq
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    groups = min(4096, max(64, parts * 4))
+    groups = max(64, parts * 4)  # rare words of a slice are few: larger pieces for each bucket
     model = gathered(docs, depth)
     total, distinct, least, known, counts = word_tiers(model, frequent)
     tier = spark.sparkContext.broadcast((known, counts))
@@ -377,7 +377,7 @@ def score(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES_IN_BLOCK, freq
         def run(batches):
             tree = worker_tree(shared)
             words, n_words = tier.value
-            for batch, raws in slices(batches):
+            for batch, raws in slices(batches, most=2 << 20):  # rare words are packed by slice
                 ctw = tree_scores(tree, raws, block, blocks)
                 data, at = joined(raws, lower=True)
                 h, starts, _ = hash_words(data)
