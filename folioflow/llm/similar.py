@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import U64, hash_words, joined, map_arrow, mix, pack, slices, texts, unpack, windows
+from folioflow.llm.common import U64, buckets_for, hash_words, joined, map_arrow, mix, pack, slices, texts, unpack, windows
 from folioflow.runtime import forget, shuffle_partitions, stored
 
 SHINGLE = 5
 NUM, DEN = 4, 5  # the threshold: intersection / union >= NUM / DEN
 #: Groups of more classes go to the blocked comparison.
 SMALL_GROUP = 48
+#: Signatures packed at a time.
+PACKED = 1 << 19
 #: Classes of one side of a block, about.
 BLOCK = 512
 
@@ -75,12 +77,12 @@ def class_key(s: np.ndarray) -> tuple[int, int]:
     return (int(mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)), int(mix(s ^ U64(0x14057B7EF767814F)).sum(dtype=U64))) if len(s) else (0, 0)
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """All signatures of a sorted set, for its band and, if it may have partners there, the one below."""
+def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
+    """All signatures of a sorted set, for its band and, if it may have partners there, the one below; and how many of them it shares at least with each partner."""
     if not len(s):
-        return s
+        return s, 0
     own = int(np.searchsorted(_LOWS, len(s), side="right")) - 1
-    out = []
+    out, shared = [], len(s)
     for b in (own, own - 1):
         if b < 0 or b < own and len(s) * NUM > BANDS[b].high * DEN:
             continue
@@ -89,9 +91,10 @@ def signatures(s: np.ndarray) -> np.ndarray:
         part = ((s >> U64(32)) * U64(band.n)) >> U64(32)
         at = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
         out.append(mix(np.add.reduceat(mix(s + tag), at) + part[at] * U64(0xD1342543DE82EF95) + tag))
+        shared = min(shared, max(1, len(at) - band.k))
         if len(at) <= band.k:
             out.append(mix(mix(s ^ tag) + U64(1)))
-    return np.concatenate(out)
+    return np.concatenate(out), shared
 
 
 def histogram(s: np.ndarray) -> bytes:
@@ -137,10 +140,20 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    groups = min(4096, max(64, parts * 4))
+    groups = buckets_for(parts)
 
     def emit(batches):
         seen: set[tuple[int, int]] = set()
+        sigs: list[np.ndarray] = []
+        own: list[np.ndarray] = []
+        many = 0
+
+        def out():
+            got = list(pack(np.concatenate(sigs), np.concatenate(own), groups=groups)) if sigs else []
+            sigs.clear()
+            own.clear()
+            return _rows(1, [g for g, _ in got], [b for _, b in got])
+
         for batch, raws in slices(batches):
             ids = batch.column(0)
             sets = shingle_sets(raws)
@@ -148,21 +161,24 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             hi = np.array([k[0] for k in keys], U64).view(np.int64)
             lo = np.array([k[1] for k in keys], U64).view(np.int64)
             size = np.array([len(s) for s in sets], np.int64)
-            sigs, own, sketches = [], [], []
+            sketches, shared = [], []
             for s, k in zip(sets, keys):
                 fresh = len(s) > 0 and k not in seen
                 sketches.append(histogram(s) if fresh else None)
+                shared.append(None)
                 if fresh:
                     seen.add(k)
-                    g = signatures(s)
+                    g, shared[-1] = signatures(s)
                     sigs.append(g)
                     own.append(np.full(len(g), k[0], U64))
-            yield _rows(0, [], sketches, ids=ids, hi=hi, lo=lo, size=size)
+                    many += len(g)
+            yield _rows(0, [], sketches, ids=ids, hi=hi, lo=lo, size=size, shared=pa.array(shared, pa.int64()))
             if len(seen) > 500_000:
                 seen.clear()
-            if sigs:
-                got = list(pack(np.concatenate(sigs), np.concatenate(own), groups=groups))
-                yield _rows(1, [g for g, _ in got], [b for _, b in got])
+            if many > PACKED:
+                yield out()
+                many = 0
+        yield out()
 
     def meet(batches):
         keys, owners = [], []
@@ -170,7 +186,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             kind = batch.column(0).to_numpy()
             keep = batch.filter(pa.array(kind == 0))
             if keep.num_rows:
-                yield _meeting(0, keep.num_rows, ids=keep.column(3), hi=keep.column(4), lo=keep.column(5), size=keep.column(6), h=keep.column(2))
+                yield _meeting(0, keep.num_rows, ids=keep.column(3), hi=keep.column(4), lo=keep.column(5), size=keep.column(6), shared=keep.column(7), h=keep.column(2))
             for blob in batch.filter(pa.array(kind == 1)).column(2).to_pylist():
                 k, o = unpack(blob, "u8", "u8")
                 keys.append(k)
@@ -215,12 +231,14 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             for r in range(0, len(part), 1 << 16):
                 yield _meeting(2, len(part[r : r + (1 << 16)]), hi=np.full(len(part[r : r + (1 << 16)]), k[at[g]].view(np.int64)), lo=part[r : r + (1 << 16)])
 
-    packed = map_arrow(texts(docs), emit, "kind int, bucket int, data binary, doc_id long, hi long, lo long, size long")
-    met = map_arrow(packed.repartition(parts, F.when(F.col("kind") == 1, F.col("bucket").cast("long")).otherwise(F.col("lo"))), meet, "kind int, doc_id long, hi long, lo long, size long, h binary")
+    packed = map_arrow(texts(docs), emit, "kind int, bucket int, data binary, doc_id long, hi long, lo long, size long, shared long")
+    # members only pass through; spread by document, so that copies of one text don't meet in a task
+    place = F.when(F.col("kind") == 1, F.col("bucket").cast("long")).otherwise(F.xxhash64("doc_id"))
+    met = map_arrow(packed.repartition(parts, place), meet, "kind int, doc_id long, hi long, lo long, size long, shared long, h binary")
     met = stored(met, "similar-met")
 
     members = met.filter("kind = 0").select("doc_id", "hi", "lo", F.col("size").alias("n_shingles"))
-    classes = met.filter("kind = 0 and size > 0").groupBy("hi", "lo").agg(F.max("size").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("h").alias("h"))
+    classes = met.filter("kind = 0 and size > 0").groupBy("hi", "lo").agg(F.max("size").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("shared").alias("shared"), F.max("h").alias("h"))
     classes = stored(classes, "similar-classes")
     pairs = met.filter("kind = 1").select(F.col("hi").alias("a"), F.col("lo").alias("b")).distinct()
     near = _screened(pairs, classes)
@@ -242,19 +260,19 @@ def _distinct(p: np.ndarray) -> np.ndarray:
     return p[np.concatenate(([True], (p[1:] != p[:-1]).any(1)))]
 
 
-def _rows(kind: int, buckets, blobs, ids=None, hi=None, lo=None, size=None) -> pa.RecordBatch:
+def _rows(kind: int, buckets, blobs, ids=None, hi=None, lo=None, size=None, shared=None) -> pa.RecordBatch:
     n = len(ids) if ids is not None else len(buckets)
     none = pa.nulls(n, pa.int64())
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(n, kind, np.int32)), pa.array(np.zeros(n, np.int32) if ids is not None else buckets, pa.int32()), pa.array(blobs, pa.binary())]
-        + [none if c is None else c if isinstance(c, pa.Array) else pa.array(c) for c in (ids, hi, lo, size)],
-        ["kind", "bucket", "data", "doc_id", "hi", "lo", "size"],
+        + [none if c is None else c if isinstance(c, pa.Array) else pa.array(c) for c in (ids, hi, lo, size, shared)],
+        ["kind", "bucket", "data", "doc_id", "hi", "lo", "size", "shared"],
     )
 
 
-def _meeting(kind: int, n: int, ids=None, hi=None, lo=None, size=None, h=None) -> pa.RecordBatch:
-    numbers = [pa.nulls(n, pa.int64()) if c is None else c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in (ids, hi, lo, size)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *numbers, pa.nulls(n, pa.binary()) if h is None else h], ["kind", "doc_id", "hi", "lo", "size", "h"])
+def _meeting(kind: int, n: int, ids=None, hi=None, lo=None, size=None, shared=None, h=None) -> pa.RecordBatch:
+    numbers = [pa.nulls(n, pa.int64()) if c is None else c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in (ids, hi, lo, size, shared)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *numbers, pa.nulls(n, pa.binary()) if h is None else h], ["kind", "doc_id", "hi", "lo", "size", "shared", "h"])
 
 
 def _bitmap(ids: DataFrame, bits: int = 24) -> bytes:
@@ -312,10 +330,15 @@ def _screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _crowded_pairs(crowded: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of the classes that share a crowded signature and that sizes and histograms don't rule out.
 
-    A group is cut by size class and, within these, into blocks; only blocks of size
+    A class of which fewer signatures are crowded than it shares with each partner has a
+    quiet one in common with all of them, so it is left out: passages that many documents
+    hold crowd a few signatures of each. Of the rest, mostly copies of one another, a
+    group is cut by size class and, within these, into blocks; only blocks of size
     classes that may link meet, each two in a task of their own.
     """
-    member = crowded.join(classes.select(F.col("hi").alias("o"), "hi", "lo", "n", "h"), "o").drop("o")
+    crowds = crowded.groupBy("o").agg(F.count("*").alias("crowds"))
+    held = crowds.join(classes.select(F.col("hi").alias("o"), "hi", "lo", "n", "shared", "h"), "o").filter("crowds >= shared").drop("crowds", "shared")
+    member = crowded.join(held, "o").drop("o")
     # two sizes that may link are at most one step apart; a second one allows for rounding
     member = member.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))))
     own = member.groupBy("sig", "step").agg(F.count("*").alias("many")).select("sig", "step", F.ceil(F.col("many") / BLOCK).cast("int").alias("width"))
