@@ -33,6 +33,8 @@ _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_k
 _SENSITIVE_BYTES = (*_ASSIGN_WORDS, b"credential", b"private", b"bearer", b"auth", b"access", b"-key", b"_key", b"pwd")
 _SENSITIVE = re.compile(r"password|passwd|pwd|secret|token|api[_-]?key|credential|private[_ -]?key|access[_-]?key|bearer|authorization|auth[_-]?key", re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~!@#$%^&*-]+")
+#: Dates and addresses are no secrets, however little they compress.
+_PLAIN = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|.*@[A-Za-z0-9-]+\.|//|[0-9.]+$")
 REACH = 40
 #: A candidate has this many characters at least, with a digit and a letter.
 MIN_LENGTH = 12
@@ -65,7 +67,7 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
             at = last = c.end()
             start, end = c.start() + len(s) - len(s.lstrip("=.")), c.end() - len(s) + len(s.rstrip(".!=")) if s.rstrip(".!=") else c.end()
             s = text[start:end]
-            if len(s) >= MIN_LENGTH and any(x.isdigit() for x in s) and any(x.isalpha() for x in s) and free(start, end, base):
+            if len(s) >= MIN_LENGTH and any(x.isdigit() for x in s) and any(x.isalpha() for x in s) and not _PLAIN.match(s) and free(start, end, base):
                 out.append((start, end))
     return out
 

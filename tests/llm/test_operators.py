@@ -213,7 +213,8 @@ def test_op3_signatures_meet():
                 break
             b = c
         x, y = (np.sort(np.array(sorted(s), np.uint64)) for s in (a, b))
-        assert a == b or np.isin(similar.signatures(x), similar.signatures(y)).any()
+        (sx, tx), (sy, ty) = similar.signatures(x), similar.signatures(y)
+        assert a == b or len(set(sx.tolist()) & set(sy.tolist())) >= max(tx, ty) >= 1
         h, g = similar.opened([similar.histogram(x)]), similar.opened([similar.histogram(y)])
         assert similar.may_reach(np.array([len(x)]), h, np.array([len(y)]), g)[0]
 
@@ -423,10 +424,10 @@ def test_op9_base_spans(docs):
 def test_op9_novelty(spark):
     key = "xK9vQ2mZ7pL4tR8wB3nY6cD1"
     filler = [(i, f"set the secret token name to user_session_manager_{i % 3} and read configuration_manager_v2 from the session table") for i in range(30)]
-    cases = [(100, f"é the bearer is {key} for you"), (101, "the bearer is configuration_manager_v2 for the session"), (102, f"no context for {key} here"), (103, 'password = "hunter2hunter2"')]
+    cases = [(100, f"é the bearer is {key} for you"), (101, "the bearer is configuration_manager_v2 for the session"), (102, f"no context for {key} here"), (103, 'password = "hunter2hunter2"'), (104, "the bearer is valid until 2031-07-09T11:52:48 or ask x7q9zk31vw@q8.example.com now")]
     d = spark.createDataFrame(filler + cases, "doc_id long, text string").withColumn("n_chars", F.length("text"))
     got = rows(secrets.find_secrets(d))
-    assert got[100]["spans"] == f"novel:16:{16 + len(key)}" and got[101]["spans"] == "" and got[102]["spans"] == "" and got[103]["n_assign"] == 1
+    assert got[100]["spans"] == f"novel:16:{16 + len(key)}" and got[101]["spans"] == "" and got[102]["spans"] == got[104]["spans"] == "" and got[103]["n_assign"] == 1
     clean = rows(secrets.without_secrets(d))
     assert clean[100]["text"] == "é the bearer is [novel removed] for you" and clean[100]["n_chars"] == len(clean[100]["text"])
     assert clean[103]["text"] == 'password = "[assign removed]"' and clean[102]["text"] == cases[2][1] and len(clean) == len(filler) + len(cases)
