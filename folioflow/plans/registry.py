@@ -58,7 +58,7 @@ b AS (SELECT doc_id, i // 12 AS page, CASE WHEN i % 12 >= 9 THEN 1 ELSE 0 END AS
   FROM lines)
 """
 
-_CUT = "CASE WHEN length({0}) <= 300 THEN {0} ELSE rtrim(substr({0}, 1, 299)) || '…' END"
+_CUT = "CASE WHEN length({0}) <= 300 THEN {0} ELSE regexp_replace(substr({0}, 1, 299), '\\s+$', '') || '…' END"
 
 
 @_query(f"""
