@@ -61,10 +61,10 @@ def validation(parsed_docs: DataFrame) -> DataFrame:
     pages = F.try_variant_get("doc", "$.pdf_info", "array<variant>")
     page_ok = lambda p: F.try_variant_get(p, "$.page_idx", "int").isNotNull() & (F.size(F.try_variant_get(p, "$.page_size", "array<int>")) == 2)
     problem = F.when(F.col("doc").isNull(), "not JSON").when(pages.isNull(), "pdf_info is not a list").when(~F.forall(pages, lambda p: F.coalesce(page_ok(p), F.lit(False))), "a page lacks page_idx or page_size")
-    checked = parsed_docs.withColumn("problem", problem)
-    opened = blocks(checked.filter("problem is null"))
-    untyped = opened.filter("type is null").select("doc_id").distinct().withColumn("untyped", F.lit(True))
-    return checked.join(untyped, "doc_id", "left").select("doc_id", F.coalesce("problem", F.when(F.col("untyped"), "a block lacks its type")).alias("problem"))
+    typed = lambda n: F.try_variant_get(n["v"], "$.type", "string").isNotNull()
+    roots = lambda p: [F.coalesce(F.try_variant_get(p, f"$.{k}", "array<variant>"), F.array().cast("array<variant>")) for k in SECTIONS]
+    problem = problem.when(~F.forall(pages, lambda p: F.forall(tree(F.concat(*roots(p))), typed)), "a block lacks its type")
+    return parsed_docs.select("doc_id", problem.alias("problem"))
 
 
 def validation_summary(checked: DataFrame, shown: int = 10) -> tuple[DataFrame, DataFrame]:
