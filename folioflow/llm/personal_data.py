@@ -1,8 +1,9 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts.
 
 Seeds are the base entities. Around every identifier-like string (seed or not) of the
-corpus its lexical patterns are taken: the two words ahead of it with its shape, and the
-word ahead with the word behind. Patterns and instances make a bipartite graph of
+corpus its lexical patterns are taken: the two words ahead of it, the word ahead, and the
+word ahead with the word behind, each with its shape and without, so that what emails or
+phones teach finds identifiers of other shapes. Patterns and instances make a bipartite graph of
 weighted edges, summed over the whole corpus. Spark scores it in rounds: a pattern by
 the share of its occurrences whose instances are trusted, weighed by how many distinct
 trusted instances it has; an instance by its best patterns. Instances of high score join
@@ -102,17 +103,18 @@ def instances(text: str, base: list[Span]) -> list[tuple[int, int, bool]]:
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around start..end; words are bare of marks, numbers are 9."""
+    """Lexical patterns around start..end, each with the shape and without; words are bare of marks, numbers are 9."""
     b = _BEFORE.search(text[max(0, start - 70) : start])
     a = _AFTER.match(text, end, min(len(text), end + 40))
     two, one = (_word(b[1]), _word(b[2])) if b else ("", "")
     kind = shape(text[start:end])
     out = []
     if one:
-        out.append(f"L {two} {one} _ {kind}")
-        out.append(f"W {one} _ {kind}")
+        around = [f"L {two} {one} _", f"W {one} _"]
         if a:
-            out.append(f"B {one} _ {_word(a[1])} {kind}")
+            around.append(f"B {one} _ {_word(a[1])}")
+        for x in around:
+            out += [f"{x} {kind}", f"any {x}"]
     return out
 
 

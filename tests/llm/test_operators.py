@@ -294,6 +294,17 @@ def test_op5_contexts_find_unseen_identifiers(spark):
         assert got[100]["spans"] == "context:18:30" and got[101]["spans"] == ""
 
 
+def test_op5_contexts_cross_shapes(spark):
+    rng = random.Random(4)
+    known = [(i, f"staff contact u{i}@mail{i % 7}.example.org is on call") for i in range(30)]
+    known += [(i, f"please dial desk +49 30 {rng.randint(1000, 9999)} {rng.randint(1000, 9999)} before noon") for i in range(30, 60)]
+    plain = [(i, f"order number {rng.randint(10_000, 99_999)}X has come") for i in range(60, 90)]
+    unseen = [(100, "staff contact AB-123456 is on call"), (101, "please dial desk EMP20391 before noon"), (102, "the part AB-123456 is elsewhere"), (103, "order number AB-123456 has come")]
+    got = rows(personal_data.find_personal_data(spark.createDataFrame(known + plain + unseen, "doc_id long, text string")))
+    assert [got[i]["spans"] for i in range(100, 104)] == ["context:14:23", "context:17:25", "", ""]
+    assert not any("context" in got[i]["spans"] for i, _ in known + plain)
+
+
 def test_op6_is_the_library(docs, odd):
     import sentencepiece
 
