@@ -3,7 +3,8 @@
 Each language's reference is the pooled histogram of its documents over character
 classes and over common words, summed over the whole corpus in the tasks that read it;
 only these sums are shuffled. A document is far from a reference when the Jensen-Shannon
-distance of its own histogram is above a threshold. It is compared with every language,
+distance of its own histogram is above a threshold; that of the words lies below the
+distance of a text without common words. A document is compared with every language,
 and rejected when it is far from all; short texts are not compared at all.
 """
 
@@ -52,12 +53,18 @@ N_CLASSES, N_WORDS = len(CLASSES), len(COMMON_WORDS) + 1
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds: distances lie in 0..1; the guards are in code points and words."""
+    """Thresholds: distances lie in 0..1; the guards are in code points and words.
+
+    word_share: of the distance from a reference at which a text without any common word
+    lies. A reference nearer to such a text than least_reach has too few common words of
+    its own to tell, and no text is far from it by its words.
+    """
 
     min_words: int = 10
     repeat_percent: int = 20
     class_distance: float = 0.30
-    word_distance: float = 0.75
+    word_share: float = 0.95
+    least_reach: float = 0.2
     guard_chars: int = 200
     guard_words: int = 60
 
@@ -159,16 +166,28 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return {k: (v[:N_CLASSES], v[N_CLASSES:]) for k, v in sorted(out.items())}
 
 
+def word_limits(words: np.ndarray, rules: Rules) -> np.ndarray:
+    """The distance from each reference beyond which a text's common words are far from it."""
+    bare = np.zeros((1, N_WORDS))
+    bare[0, -1] = 1
+    reach = js_distance(bare, words)[0]
+    return np.where(reach >= rules.least_reach, rules.word_share * reach, np.inf)
+
+
 def judge(raws: list[bytes | None], refs: dict[str, tuple[np.ndarray, np.ndarray]], rules: Rules) -> dict[str, np.ndarray]:
     out = base_counts(raws)
     failed = (out["n_words"] < rules.min_words) | (100 * out["n_repeat_words"] > rules.repeat_percent * out["n_words"])
     classes, words = histograms(raws)
     if refs:
-        dc = js_distance(classes, np.array([c for c, _ in refs.values()])).min(1)
-        dw = js_distance(words, np.array([w for _, w in refs.values()])).min(1)
+        ref_words = np.array([w for _, w in refs.values()])
+        dc, dw = js_distance(classes, np.array([c for c, _ in refs.values()])), js_distance(words, ref_words)
+        far_class = (dc > rules.class_distance) & (classes.sum(1) >= rules.guard_chars)[:, None]
+        far_words = (dw > word_limits(ref_words, rules)) & (out["n_words"] >= rules.guard_words)[:, None]
+        far = (far_class | far_words).all(1)
+        dc, dw = dc.min(1), dw.min(1)
     else:
         dc = dw = np.zeros(len(raws))
-    far = (dc > rules.class_distance) & (classes.sum(1) >= rules.guard_chars) | (dw > rules.word_distance) & (out["n_words"] >= rules.guard_words)
+        far = np.zeros(len(raws), bool)
     return out | {"base_failed": failed, "class_distance": dc, "word_distance": dw, "kept": ~failed & ~far}
 
 

@@ -136,6 +136,27 @@ def test_op2_divergence(spark, docs):
     assert not any(got[10_000 + len(clean) + i]["kept"] for i in range(len(noisy)))
 
 
+def test_op2_rejects_word_salad(spark, docs):
+    rng = random.Random(8)
+    clean = [(r["text"], r["lang"]) for r in docs.filter("n_chars > 800").select("text", "lang").collect() if not re.search(r"[|*$#%&<>]|!!", r["text"])]
+    letters = [c for t, _ in clean[:20] for c in re.sub(r"[\W\d_]", "", t.lower())]
+    word = lambda: next(w for w in iter(lambda: "".join(rng.choices(letters, k=rng.randint(2, 9))), "") if w not in quality.COMMON_WORDS)
+    salad = [(" ".join(word() for _ in range(rng.choice([70, 150, 600]))), lang) for lang in ("en", "de", "fr", None) for _ in range(5)]
+    cases = [(10_000 + i, *x) for i, x in enumerate(clean + salad)]
+    got = rows(quality.quality(docs.select("doc_id", "text", "lang").union(spark.createDataFrame(cases, "doc_id long, text string, lang string"))))
+    assert len(clean) > 40 and all(got[10_000 + i]["kept"] or got[10_000 + i]["base_failed"] for i in range(len(clean)))
+    assert not any(got[10_000 + len(clean) + i]["kept"] for i in range(len(salad)))
+    assert not any(got[10_000 + len(clean) + i]["base_failed"] for i in range(len(salad)))
+
+
+def test_op2_word_limits():
+    words = np.ones((2, quality.N_WORDS))
+    words[1, :-1] = 0
+    limit = quality.word_limits(words, quality.Rules())
+    bare = quality.js_distance(words[1:], words)[0]
+    assert limit[0] < bare[0] and limit[1] == np.inf
+
+
 def test_js_distance():
     p, q = np.array([[1, 0], [1, 1], [0, 0]]), np.array([[0, 1], [2, 2]])
     d = quality.js_distance(p, q)
