@@ -2,15 +2,17 @@
 
 A candidate is a string without blanks near a sensitive word. Two dictionaries prime the
 compressor: the identifiers that the corpus itself shows in such contexts, counted over
-all documents, and the text around the candidate. What the candidate adds to a frame
+all documents, and the text around the candidate, both without any candidate or base
+span, as a secret that primes the compressor would hide itself. What the candidate adds to a frame
 that both prime, in bytes, is its novelty. A string that hardly compresses is reported;
 words, paths and names that the dictionaries hold are not.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,10 @@ MIN_LENGTH = 12
 NOVELTY = 0.72
 CONTEXT = 256
 DICTIONARY_WORDS = 4096
+#: Distinct texts that show an identifier before it is one.
+LEAST_TEXTS = 2
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,30}")
+_WORD_EDGE = re.compile(r"[A-Za-z0-9_]{2}")
 
 
 def base_spans(text: str) -> list[Span]:
@@ -72,41 +77,91 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
     return out
 
 
-def novelty(text: str, start: int, end: int, identifiers: bytes) -> float:
-    """Compressed bytes that the candidate adds, to each of its characters, after the text around it and the identifiers."""
+def context(text: str, start: int, end: int, spans: list[tuple[int, int]]) -> str:
+    """CONTEXT code points on each side of start..end, with ``spans`` (in order) and every repetition of start..end blank."""
+    n, own = end - start, text[start:end]
+    low, high = max(0, start - CONTEXT - n), min(len(text), end + CONTEXT + n)
+    out, at = [], low
+    for s, e in spans[bisect_left(spans, low, key=lambda x: x[1]) :]:
+        if s >= high:
+            break
+        if e > at:
+            out += [text[at : max(s, at)], " " * (min(e, high) - max(s, at))]
+            at = min(e, high)
+    around = "".join(out) + text[at:high]
+    before, after = around[: start - low].replace(own, " " * n), around[end - low :].replace(own, " " * n)
+    return before[-CONTEXT:] + "\n" + after[:CONTEXT]
+
+
+def merged(found: list[tuple[int, int]], base: list[Span]) -> list[tuple[int, int]]:
+    """Candidates and base spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted([*found, *((s, e) for _, s, e in base)]):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def novelty(text: str, start: int, end: int, identifiers: bytes, spans: list[tuple[int, int]]) -> float:
+    """Compressed bytes that the candidate adds, to each of its characters, after the identifiers and the text around it without ``spans``."""
     import zstandard
 
-    around = (text[max(0, start - CONTEXT) : start] + "\n" + text[end : end + CONTEXT]).encode()
+    around = context(text, start, end, spans).encode()
     primed = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(identifiers + b"\n" + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
     return (len(primed.compress(text[start:end].encode())) - len(primed.compress(b""))) / (end - start)
 
 
+def context_identifiers(text: str) -> set[str]:
+    """The identifiers within CONTEXT of the text's candidates, without any that a candidate or base span of it holds."""
+    base = base_spans(text)
+    found = candidates(text, base)
+    if not found:
+        return set()
+    spans = merged(found, base)
+    hidden = {w for s, e in spans for w in _IDENTIFIER.findall(text[s:e])}
+    out, at = set(), 0
+    for s, e in found:
+        low, high = max(at, s - CONTEXT), min(len(text), e + CONTEXT)
+        for m in _IDENTIFIER.finditer(text, low, high):
+            i = bisect_right(spans, m.start(), key=lambda x: x[0])
+            apart = (i == 0 or spans[i - 1][1] <= m.start()) and (i == len(spans) or spans[i][0] >= m.end())
+            # a word that the context's edge cuts is not one
+            cut = m.start() == low > 0 and _WORD_EDGE.match(text, low - 1) or m.end() == high and _WORD_EDGE.match(text, high - 1)
+            if apart and not cut:
+                out.add(m[0])
+        at = max(at, e)
+    return out - hidden
+
+
 def identifier_dictionary(docs: DataFrame, most: int = DICTIONARY_WORDS) -> bytes:
-    """The ``most`` most frequent identifiers around candidates in all of ``docs``, the most frequent last, where zstandard reaches them cheapest.
+    """The ``most`` identifiers that most texts have around candidates, in all of ``docs``, the most frequent last, where zstandard reaches them cheapest.
 
-    Counted in the tasks first. The candidates themselves are not counted.
+    Equal texts count once, and one text alone teaches nothing. Candidates and base spans
+    are not counted.
     """
 
     def run(batches):
-        sums = Counter()
         for _, raws in slices(batches):
+            found: dict[bytes, list[str]] = {}
             for raw in raws:
-                if raw and worth_scanning(raw):
-                    text = raw.decode()
-                    for s, e in candidates(text, base_spans(text)):
-                        sums.update(_IDENTIFIER.findall(text[max(0, s - CONTEXT) : s]))
-                        sums.update(_IDENTIFIER.findall(text[e : e + CONTEXT]))
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array(list(sums.values()), pa.int64())], ["word", "n"])
+                if raw and worth_scanning(raw) and (words := context_identifiers(raw.decode())):
+                    found[hashlib.sha256(raw).digest()[:16]] = sorted(words)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(pa.string()))], ["mark", "words"])
 
-    top = map_arrow(texts(docs), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()
+    once = map_arrow(texts(docs), run, "mark binary, words array<string>").dropDuplicates(["mark"])
+    top = once.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(f"n >= {LEAST_TEXTS}").orderBy(F.desc("n"), "word").limit(most).collect()
     return " ".join([r["word"] for r in reversed(top)] + ["password secret token api_key access_key private_key client_secret authorization bearer example changeme placeholder your_password_here"]).encode()
 
 
 def spans_of(text: str, identifiers: bytes) -> tuple[list[Span], list[Span]]:
     """(base, added) spans."""
     base = base_spans(text)
-    return base, [("novel", s, e) for s, e in candidates(text, base) if novelty(text, s, e, identifiers) >= NOVELTY]
+    found = candidates(text, base)
+    spans = merged(found, base)
+    return base, [("novel", s, e) for s, e in found if novelty(text, s, e, identifiers, spans) >= NOVELTY]
 
 
 _ARROW = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in BASE_KINDS], ("base_sha256", pa.string()), ("spans", pa.string())])

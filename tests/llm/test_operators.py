@@ -466,6 +466,19 @@ def test_op9_novelty(spark):
     assert secrets.redacted("0123456789", [("hex", 1, 4), ("novel", 2, 6), ("hex", 8, 9)]) == "0[hex removed]67[hex removed]9"
 
 
+def test_op9_secrets_do_not_hide_secrets(spark):
+    first, second, third = "xK9vQ2mZ7pL4tR8wB3nY6cD1", "hT5jW8qF2sV7gN4kP9rX3bM6", "uE4dL7zC1yH8aJ3oS6iG9fQ2"
+    text = f"the token is {first} and the secret is {second} here"
+    cases = [(i, text) for i in range(40)] + [(100, f"the bearer {third} is the same as {third} in this text, and once more {third}")]
+    d = spark.createDataFrame(cases, "doc_id long, text string")
+    got, clean = rows(secrets.find_secrets(d)), rows(secrets.without_secrets(d))
+    at = [(text.index(k), text.index(k) + 24) for k in (first, second)]
+    assert all(got[i]["spans"] == ",".join(f"novel:{s}:{e}" for s, e in at) for i in range(40))
+    assert got[100]["spans"].startswith("novel:11:35") and third not in clean[100]["text"][:30] and first not in clean[0]["text"] and second not in clean[0]["text"]
+    known = secrets.identifier_dictionary(d).decode().split()
+    assert not {first, second, third} & set(known) and "here" not in known
+
+
 def brute_ctw(train, text, depth):
     """Log10 probability by the recursive definition, one bit at a time, with counts of the training bytes."""
     counts = defaultdict(lambda: [0, 0])
