@@ -35,8 +35,15 @@ _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_k
 _SENSITIVE_BYTES = (*_ASSIGN_WORDS, b"credential", b"private", b"bearer", b"auth", b"access", b"-key", b"_key", b"pwd")
 _SENSITIVE = re.compile(r"password|passwd|pwd|secret|token|api[_-]?key|credential|private[_ -]?key|access[_-]?key|bearer|authorization|auth[_-]?key", re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~!@#$%^&*-]+")
-#: Dates and addresses are no secrets, however little they compress.
-_PLAIN = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|.*@[A-Za-z0-9-]+\.|//|[0-9.]+$")
+#: Dates, times and email addresses are no secrets, however little they compress, where they are the whole of a string.
+_TIME = r"[0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:[.][0-9]+)?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?"
+_DATE = re.compile(rf"(?<![A-Za-z0-9])(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?:T(?:{_TIME}|[0-9]{{2}}))?|[0-9]{{8}}T[0-9]{{6}}(?:[.][0-9]+)?Z?|{_TIME})(?![A-Za-z0-9])")
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}")
+_HOST = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9.-])")
+#: What stands ahead of a string within a URL, from its authority on; or ahead of user info without a scheme.
+_IN_URL = re.compile(r"://([^\s\"'<>]*)$")
+_USER = re.compile(r"(?:^|[^A-Za-z0-9._-])([A-Za-z0-9._-]+):$")
+_LABELS = frozenset("mailto email e-mail mail contact from to cc bcc user username login account".split())
 REACH = 40
 #: A candidate has this many characters at least, with a digit and a letter.
 MIN_LENGTH = 12
@@ -62,18 +69,55 @@ def worth_scanning(raw: bytes) -> bool:
     return any(w in low for w in _SENSITIVE_BYTES) or b"AKIA" in raw or _HEX_RUN in raw.translate(_TO_HEX)
 
 
+def plain(text: str, start: int, end: int) -> bool:
+    """Whether the whole of the string is an email address, or lies in a date or time: colons part these."""
+    return bool(_EMAIL.fullmatch(text, start, end)) or any(m.start() <= start and end <= m.end() for m in _DATE.finditer(text, max(0, start - 40), min(len(text), end + 40)))
+
+
+def cut(text: str, start: int, end: int, marks: str) -> list[tuple[int, int]]:
+    """The parts of start..end between any of ``marks``; an equals sign at a part's end, as base64 has it, stays."""
+    return [m.span() for m in re.compile(rf"(?:[^{marks}=]|=(?=[{marks}=]|$))+" if "&" in marks else rf"[^{marks}]+").finditer(text, start, end)]
+
+
+def parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """What of a string may be a secret: of a URL the user info, the steps of its path and the values of its query, of an address with a password that; else the whole.
+
+    Hosts are none. The string may begin anywhere in a URL, as colons and question marks part it.
+    """
+    before = text[max(0, start - CONTEXT) : start]
+    url = _IN_URL.search(before)
+    authority = start
+    if text.startswith("//", start) and (before.endswith(":") or _HOST.match(text, start + 2, end)):
+        authority = start + 2
+    elif before.endswith("?") or url and "?" in url[1]:
+        return cut(text, start, end, "&;#")
+    elif url and re.search("[/#]", url[1]):
+        return cut(text, start, end, "/&;#")
+    elif not url:
+        user = _USER.search(before)
+        at = text.rfind("@", start, end)
+        if user and user[1].lower() not in _LABELS and at > start and _HOST.match(text, at + 1, end):
+            return [(start, at)]
+        return [(start, end)]
+    path = next((i for i in range(authority, end) if text[i] in "/#"), end)
+    at = text.rfind("@", authority, path)
+    info = [(authority, at)] if at > authority else [(authority, path)] if authority == start and before[-1:] == ":" and text[end : end + 1] == ":" else []
+    return info + cut(text, path, end, "/&;#")
+
+
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
     """Strings that begin within REACH of a sensitive word's end, apart from base spans."""
     out, last = [], -1
     for m in _SENSITIVE.finditer(text):
         at = max(m.end(), last)
         while at < len(text) and (c := _CANDIDATE.search(text, at, len(text))) and c.start() <= m.end() + REACH:
-            s = c[0]
             at = last = c.end()
-            start, end = c.start() + len(s) - len(s.lstrip("=.")), c.end() - len(s) + len(s.rstrip(".!=")) if s.rstrip(".!=") else c.end()
-            s = text[start:end]
-            if len(s) >= MIN_LENGTH and any(x.isdigit() for x in s) and any(x.isalpha() for x in s) and not _PLAIN.match(s) and free(start, end, base):
-                out.append((start, end))
+            for start, end in parts(text, c.start(), c.end()):
+                s = text[start:end]
+                start, end = start + len(s) - len(s.lstrip("=.")), end - len(s) + len(s.rstrip(".!=")) if s.rstrip(".!=") else end
+                s = text[start:end]
+                if len(s) >= MIN_LENGTH and any(x.isdigit() for x in s) and any(x.isalpha() for x in s) and not plain(text, start, end) and free(start, end, base):
+                    out.append((start, end))
     return out
 
 

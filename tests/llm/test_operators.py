@@ -479,6 +479,29 @@ def test_op9_secrets_do_not_hide_secrets(spark):
     assert not {first, second, third} & set(known) and "here" not in known
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("token for amqp://svc:kX93mQz7Lp2v@mq.example.com", ["kX93mQz7Lp2v"]),
+        ("token for amqp://svc8kX93mQz7Lp2v@mq.example.com:5672/v", ["svc8kX93mQz7Lp2v"]),
+        ("bearer svc:kX93mQz7Lp2v@mq.example.com", ["kX93mQz7Lp2v"]),
+        ("the password p7@ss.w0rdXyz9Qk works", ["p7@ss.w0rdXyz9Qk"]),
+        ("secret 2024-01-15aB3xK9vQ2m", ["2024-01-15aB3xK9vQ2m"]),
+        ("token in https://api1.example.com/v2/cb?sig=aB3xK9vQ2mT7==&id=zP4rL8nW5kD1#x", ["aB3xK9vQ2mT7", "zP4rL8nW5kD1"]),
+        ("bearer https://api1.example.com/hooks/aB3xK9vQ2mT7/x", ["aB3xK9vQ2mT7"]),
+        ("credential //8K3xK9vQ2mT7pL4t", ["//8K3xK9vQ2mT7pL4t"]),
+        ("the token ends 2031-07-09T11:52:48.123456789Z or 20310709T115248Z, 2031-07-09T11:52+02:00", []),
+        ("the token of mailto:x7q9zk31vw@q8.example.com or x7q9zk31vw@q8.example.com", []),
+        ("the token of https://host12345.example.com/path", []),
+    ],
+)
+def test_op9_only_whole_dates_and_addresses_are_left(text, found):
+    base = secrets.base_spans(text)
+    assert [text[s:e] for s, e in secrets.candidates(text, base)] == found
+    spans = secrets.spans_of(text, b"")[1]
+    assert [text[s:e] for _, s, e in spans] == found
+
+
 def brute_ctw(train, text, depth):
     """Log10 probability by the recursive definition, one bit at a time, with counts of the training bytes."""
     counts = defaultdict(lambda: [0, 0])
