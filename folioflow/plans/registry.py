@@ -252,7 +252,7 @@ def latex_to_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def latex_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    return docs.select("doc_id", latex.math_text(F.concat(F.lit("\\alpha _ { i } ( 0 . 5 ) { a b c } "), F.substring("text", 1, 60)), True, False).alias("shown"))
+    return docs.select("doc_id", latex.math_text(F.concat(F.lit("\\alpha _ { i } ( 0 . 5 ) { a b c } "), "text"), True, False).alias("shown"))
 
 
 @_query("""

@@ -2,6 +2,7 @@
 
 import pytest
 
+from folioflow.functions import latex
 from folioflow.plans import registry
 from tests.conftest import DATA
 
@@ -22,6 +23,14 @@ def test_query(spark, duck, name):
         assert got == rows_of([c[0] for c in r.description], r.fetchall())
 
 
+def test_latex_spacing_takes_whole_texts(spark, tmp_path):
+    texts = [None, "", "short", "word " * 40 + r"\beta _ { j } ( 1 . 5 ) { x y z }", "{" + " a" * 20_000 + " } \n" + "{" + "b " * 20_000 + "c}" + r" \in { d e }", "$$ x $"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["shown"] for r in registry.queries()["latex_spacing"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else latex.math_string(r"\alpha _ { i } ( 0 . 5 ) { a b c } " + t, True, False) for i, t in enumerate(texts)}
+    assert got[3].endswith("β_j(1.5){xyz}$") and len(got[4]) > 40_000
+
+
 def test_entry_imports_and_runs(spark):
     import __spark_entry__ as entry
 
