@@ -329,7 +329,9 @@ def word_tiers(model: DataFrame, most: int = FREQUENT_WORDS) -> tuple[int, int,
                 at = n >= least
                 yield pa.RecordBatch.from_arrays([pa.array([k[at].tobytes() + n[at].tobytes()], pa.binary())], ["data"])
 
-    # counts of rank - 1 and more share a place in the census: if these alone exceed the bound, no word is broadcast
+    # counts of rank - 1 and more share a place in the census: if these alone exceed the bound, no word is broadcast and all are rare
+    if least == rank:
+        least = np.iinfo(np.int64).max
     got = [unpack(bytes(r["data"]), "u8", "i8") for r in map_arrow(words, frequent, "data binary").toLocalIterator()] if least < rank else []
     k, n = (np.concatenate(x) for x in zip(*got)) if got else (np.empty(0, U64), np.empty(0, np.int64))
     order = np.argsort(k)

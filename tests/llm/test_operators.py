@@ -564,6 +564,14 @@ def test_op10_against_brute_force(spark, nodes, frequent):
         assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-9 and abs(a[6] - b[6]) < 1e-3 * (1 + abs(b[6]))
 
 
+def test_op10_counts_very_frequent_words_without_a_broadcast_tier(spark):
+    cases = [(i, "the " * 1000 + f"cat u{i}") for i in range(1, 9)]
+    d = spark.createDataFrame(cases, "doc_id long, text string")
+    some, none = (sorted(tuple(r)[:6] for r in lm_scoring.score(d, 2, 5_000_000, frequent).collect()) for frequent in (1 << 20, 0))
+    assert all(a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-9 * abs(a[5]) for a, b in zip(some, none, strict=True))
+    assert all(r[3] >= 1002 for r in none)
+
+
 def test_op10_learns(docs):
     got = lm_scoring.score(docs).join(docs.select("doc_id", F.octet_length("text").alias("n")), "doc_id").filter("n > 200").collect()
     bits = [-r["score"] / math.log10(2) / r["n"] for r in got if r["held_out"]]
