@@ -115,6 +115,8 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 MIN_ITEMS = 2
+#: Items shorter than a window that a document must hold to go from the corpus.
+LEAST_SHORT = 2
 
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, most: int) -> Iterator:
@@ -173,11 +175,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_BYTES
     return map_arrow(grouped.select("doc_id", "n", "spans", "items"), finish, SCHEMA)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, unchanged and without a shuffle.
+def leaks(spans: list[tuple[int, int]], items: set) -> bool:
+    """Whether a document goes from the corpus: it holds a full window of an item, or LEAST_SHORT items that are shorter than a window."""
+    return any(e - s >= WINDOW for s, e in spans) or len(items) >= LEAST_SHORT
+
 
-    With a benchmark of several blocks, a row must pass all blocks together: its items are
-    carried from block to block beside it.
+def clean_documents(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no passage of the benchmark (see ``leaks``), unchanged and without a shuffle.
+
+    One full window of eight words is a passage, so a document goes by a single item,
+    unlike ``contaminated``, which wants two. An item shorter than a window may stand
+    anywhere by chance and counts only with another. Null and empty texts hold nothing and
+    stay; repeated rows are judged each, alike; a null doc_id and columns of any other
+    name pass through; an empty benchmark keeps all, an empty table gives no rows. Texts
+    are judged whole, however long, each in memory as one slice. With a benchmark of
+    several blocks, short items are carried from block to block beside the row.
     """
     schema = docs.schema
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"), F.array().cast("array<string>").alias("items"))
@@ -186,9 +198,12 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_BYT
         def run(batches):
             ix = index.value
             for batch, raws in slices(batches):
-                had = batch.column(2).to_pylist()
-                now = [sorted({*h, *map(str, ix.hits(r)[2])}) for h, r in zip(had, raws)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(now, pa.list_(pa.string()))], ["row", "text", "items"]).filter(pa.array([len(x) < MIN_ITEMS for x in now]))
+                now, stays = [], []
+                for had, raw in zip(batch.column(2).to_pylist(), raws):
+                    _, spans, items = ix.hits(raw)
+                    now.append(sorted({*had, *map(str, items)}))
+                    stays.append(not leaks(spans, now[-1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(now, pa.list_(pa.string()))], ["row", "text", "items"]).filter(pa.array(stays))
 
         return run
 

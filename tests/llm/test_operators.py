@@ -434,10 +434,22 @@ def test_op8_against_brute_force(spark):
     for most in (1 << 20, 40):
         assert sorted(tuple(r) for r in decontamination.contamination(d, b, most).collect()) == want
         kept = [r["doc_id"] for r in decontamination.clean_documents(d, b, most).collect()]
-        assert sorted(kept) == sorted(w[0] for w in want if not w[5])
+        # a full window, or two short items
+        full = [(i, t) for i, t in items if len(ITEM.findall(low(t))) >= 8]
+        assert sorted(kept) == sorted(i for i, t in docs if not brute_hits(t, full)[2] and brute_hits(t, items)[2] < 2)
     assert decontamination.contamination(d, b.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_op8_one_planted_passage_is_enough(spark, odd, benchmark):
+    item = benchmark.filter("item_id = 2").head()["text"]
+    rows = [(1, "Some other words ahead. " + item + " And behind."), (2, "Other words alone, nine of them, and no passage."), (3, " ".join(ITEM.findall(item)[3:11])), (4, " ".join(ITEM.findall(item)[3:10]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in decontamination.clean_documents(d, benchmark).collect()) == [2, 4]
+    # odd rows stay, repeated ones each, with all their columns
+    kept = decontamination.clean_documents(odd, benchmark)
+    assert kept.schema == odd.schema and sorted(map(repr, kept.collect())) == sorted(map(repr, odd.collect()))
+
+
 def test_op9_base_spans(docs):
     assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
