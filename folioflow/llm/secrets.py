@@ -1,11 +1,13 @@
 """Secret scans: base patterns, and zstandard novelty of strings in sensitive contexts.
 
-A candidate is a string without blanks near a sensitive word. Two dictionaries prime the
-compressor: the identifiers that the corpus itself shows in such contexts, counted over
-all documents, and the text around the candidate, both without any candidate or base
-span, as a secret that primes the compressor would hide itself. What the candidate adds to a frame
-that both prime, in bytes, is its novelty. A string that hardly compresses is reported;
-words, paths and names that the dictionaries hold are not.
+A candidate is what a base pattern found (of an assignment, its value), or a string
+without blanks near a sensitive word. Two dictionaries prime the compressor: the
+identifiers that the corpus shows around sensitive words and base spans, counted over all
+documents, and the text around the candidate, both without any candidate or base span, as
+a secret that primes the compressor would hide itself. What the candidate adds to a frame
+that both prime, in bytes, is its novelty. A string that hardly compresses is reported as
+novel, one that a base pattern found too, besides its base span; words, paths,
+placeholders and names that the dictionaries hold are not.
 """
 
 from __future__ import annotations
@@ -45,11 +47,13 @@ _IN_URL = re.compile(r"://([^\s\"'<>]*)$")
 _USER = re.compile(r"(?:^|[^A-Za-z0-9._-])([A-Za-z0-9._-]+):$")
 _LABELS = frozenset("mailto email e-mail mail contact from to cc bcc user username login account".split())
 REACH = 40
-#: A candidate has this many characters at least, with a digit and a letter.
+#: A candidate that no base pattern found has this many characters at least, with a digit and a letter.
 MIN_LENGTH = 12
-#: Marginal compressed bytes to a character of the candidate, from which it is novel.
-NOVELTY = 0.72
+#: Marginal compressed bytes to a character of the candidate, from which it is novel. Random strings take 1, as they don't compress at all; the rest is for a known prefix.
+NOVELTY = 0.85
+#: Code points of context on each side.
 CONTEXT = 256
+#: Identifiers that prime the compressor, 31 bytes each at most: what bounds the broadcast and a candidate's cost. Those that most texts show come first.
 DICTIONARY_WORDS = 4096
 #: Distinct texts that show an identifier before it is one.
 LEAST_TEXTS = 2
@@ -105,8 +109,17 @@ def parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return info + cut(text, path, end, "/&;#")
 
 
+def values(text: str, base: list[Span]) -> list[tuple[int, int]]:
+    """What of each base span is the secret: an assignment's value, the whole of others; each place once."""
+    return sorted({_ASSIGN.match(text, s).span(2) if kind == "assign" else (s, e) for kind, s, e in base})
+
+
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Strings that begin within REACH of a sensitive word's end, apart from base spans."""
+    """The values of base spans, and strings that begin within REACH of a sensitive word's end, apart from base spans; in order."""
+    return sorted({*values(text, base), *near_sensitive(text, base)})
+
+
+def near_sensitive(text: str, base: list[Span]) -> list[tuple[int, int]]:
     out, last = [], -1
     for m in _SENSITIVE.finditer(text):
         at = max(m.end(), last)
@@ -153,20 +166,21 @@ def novelty(text: str, start: int, end: int, identifiers: bytes, spans: list[tup
     import zstandard
 
     around = context(text, start, end, spans).encode()
-    primed = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(identifiers + b"\n" + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
-    return (len(primed.compress(text[start:end].encode())) - len(primed.compress(b""))) / (end - start)
+    known, own = identifiers + b"\n" + around, text[start:end].encode()
+    how = zstandard.ZstdCompressionParameters.from_level(9, dict_size=len(known), source_size=len(own), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+    primed = zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+    return (len(primed.compress(own)) - len(primed.compress(b""))) / (end - start)
 
 
 def context_identifiers(text: str) -> set[str]:
-    """The identifiers within CONTEXT of the text's candidates, without any that a candidate or base span of it holds."""
+    """The identifiers within CONTEXT of the text's sensitive words, base spans and candidates, without any that a candidate or base span of it holds."""
     base = base_spans(text)
     found = candidates(text, base)
-    if not found:
-        return set()
     spans = merged(found, base)
+    centres = sorted([*spans, *(m.span() for m in _SENSITIVE.finditer(text))])
     hidden = {w for s, e in spans for w in _IDENTIFIER.findall(text[s:e])}
     out, at = set(), 0
-    for s, e in found:
+    for s, e in centres:
         low, high = max(at, s - CONTEXT), min(len(text), e + CONTEXT)
         for m in _IDENTIFIER.finditer(text, low, high):
             i = bisect_right(spans, m.start(), key=lambda x: x[0])
@@ -180,10 +194,10 @@ def context_identifiers(text: str) -> set[str]:
 
 
 def identifier_dictionary(docs: DataFrame, most: int = DICTIONARY_WORDS) -> bytes:
-    """The ``most`` identifiers that most texts have around candidates, in all of ``docs``, the most frequent last, where zstandard reaches them cheapest.
+    """The ``most`` identifiers that most texts have around sensitive words, base spans and candidates, in all of ``docs``, the most frequent last, where zstandard reaches them cheapest.
 
     Equal texts count once, and one text alone teaches nothing. Candidates and base spans
-    are not counted.
+    are not counted. Identifiers that as many texts show go by their name.
     """
 
     def run(batches):
@@ -208,15 +222,18 @@ def spans_of(text: str, identifiers: bytes) -> tuple[list[Span], list[Span]]:
     return base, [("novel", s, e) for s, e in found if novelty(text, s, e, identifiers, spans) >= NOVELTY]
 
 
-_ARROW = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in BASE_KINDS], ("base_sha256", pa.string()), ("spans", pa.string())])
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+_ARROW = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in BASE_KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_novel", pa.int64())])
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """Counts by kind, the digest of base spans, and all spans of each row of ``docs``.
 
     Null and empty texts have none: the digest of the empty string, and empty spans.
-    Repeated rows are scanned each, an empty table gives no rows, other columns are not read.
+    Repeated rows are scanned each, alike, but teach the dictionary once; spans that begin
+    together go by their kind's place, then their end. Texts are scanned whole, however
+    long, each in memory as one slice. A null doc_id stays null, an empty table gives no
+    rows, and other columns are not read.
     """
     known = docs.sparkSession.sparkContext.broadcast(identifier_dictionary(docs))
 
@@ -225,7 +242,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             rows = []
             for raw in raws:
                 base, more = spans_of(raw.decode(), known.value) if raw and worth_scanning(raw) else ([], [])
-                rows.append((*[sum(k == b[0] for b in base) for k in BASE_KINDS], sha256(written(base, KINDS)), written(base + more, KINDS)))
+                rows.append((*[sum(k == b[0] for b in base) for k in BASE_KINDS], sha256(written(base, KINDS)), written(base + more, KINDS), len(more)))
             yield batch_of(_ARROW, [batch.column(0), *zip(*rows)])
 
     return map_arrow(texts(docs), run, SCHEMA)
@@ -249,7 +266,12 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret replaced in its text, and n_chars, where there is such a column, counted anew. No row goes."""
+    """``docs`` with every secret replaced in its text, and n_chars, where there is such a column, counted anew. No row goes.
+
+    Null, empty and clean texts stay as they are, as do all other columns, of any name and
+    type. Repeated rows are changed alike, of spans that overlap the first goes whole, a
+    null doc_id is kept; an empty table gives no rows. Texts are taken whole, however long.
+    """
     known = docs.sparkSession.sparkContext.broadcast(identifier_dictionary(docs))
     schema = docs.schema
 

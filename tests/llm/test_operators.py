@@ -478,6 +478,76 @@ def test_op9_novelty(spark):
     assert secrets.redacted("0123456789", [("hex", 1, 4), ("novel", 2, 6), ("hex", 8, 9)]) == "0[hex removed]67[hex removed]9"
 
 
+def test_op9_verdicts_against_brute_force(docs):
+    """Spans and dictionary by their definitions, a character at a time."""
+    import zstandard
+
+    near = re.compile(r"(?i)password|passwd|pwd|secret|token|api[_-]?key|credential|private[_ -]?key|access[_-]?key|bearer|authorization|auth[_-]?key", re.ASCII)
+    rng = random.Random(19)
+    parts = ["token = ", "bearer ", "pwd is ", " and then ", "the_handler ", "config_value_9 ", "AKIA" + "Q7" * 8 + " ", "0a1b" * 9 + " ", "password: hunter2hunter2 ", "secret ", *("".join(rng.choice("abcXYZ0189+/") for _ in range(n)) + " " for n in (11, 12, 20, 40)), "é ", "\n"]
+    made = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(300)] + [t for t in texts(docs).values() if secrets.base_spans(t)]
+
+    def brute(t, known):
+        base = secrets.base_spans(t)
+        value = {(s + re.match(r"(?is)[a-z_]+[\"']? *[:=] *[\"']?", t[s:e]).end(), e) if k == "assign" else (s, e) for k, s, e in base}
+        found = set(value)
+        last = -1
+        for m in near.finditer(t):
+            s = max(m.end(), last)
+            while True:
+                while s < len(t) and not re.match(r"[A-Za-z0-9+/_.=~!@#$%^&*-]", t[s]):
+                    s += 1
+                if s >= len(t) or s > m.end() + 40:
+                    break
+                e = s
+                while e < len(t) and re.match(r"[A-Za-z0-9+/_.=~!@#$%^&*-]", t[e]):
+                    e += 1
+                a, b = s, e
+                while a < b and t[a] in "=.":
+                    a += 1
+                while b > a and t[b - 1] in ".!=":
+                    b -= 1
+                if b - a >= 12 and re.search("[0-9]", t[a:b]) and re.search("[A-Za-z]", t[a:b]) and all(b <= x or a >= y for _, x, y in base):
+                    found.add((a, b))
+                last = s = e
+        covered = {i for s, e in [*found, *((s, e) for _, s, e in base)] for i in range(s, e)}
+        novel = []
+        for s, e in sorted(found):
+            bare = lambda i, j: "".join(" " if k in covered else t[k] for k in range(i, j)).replace(t[s:e], " " * (e - s))  # noqa: B023, E731
+            around = bare(max(0, s - 256 - (e - s)), s)[-256:] + "\n" + bare(e, min(len(t), e + 256 + e - s))[:256]
+            primer = known + b"\n" + around.encode()
+            p = zstandard.ZstdCompressionParameters.from_level(9, dict_size=len(primer), source_size=len(t[s:e].encode()), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+            c = zstandard.ZstdCompressor(compression_params=p, dict_data=zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            if len(c.compress(t[s:e].encode())) - len(c.compress(b"")) >= 0.85 * (e - s):
+                novel.append(("novel", s, e))
+        return novel
+
+    known, many = b"the_handler config_value_9 hunter2hunter2", 0
+    for t in made:
+        got = secrets.spans_of(t, known)
+        assert got == (secrets.base_spans(t), brute(t, known)), t
+        many += len(got[1])
+    assert many > 300
+
+
+def test_op9_on_planted_strings(spark, docs):
+    """Random strings of contexts that no base pattern knows are found; names made of the corpus' own words are mostly left."""
+    rng = random.Random(23)
+    names = ["connection_manager", "request_handler", "session_timeout", "database_config", "payload_index", "response_buffer"]
+    whole = [(i, f"the access_key of {a} and the secret {b} go to {c}") for i, (a, b, c) in enumerate(rng.sample(names, 3) for _ in range(40))]
+    marks = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789+/"
+    plain = [t for t in texts(docs).values() if len(t) > 200][:60]
+    cases = []
+    for i, t in enumerate(plain):
+        at = t.index(" ", len(t) // 2)
+        value = "".join(rng.choice(marks) for _ in range(rng.randint(16, 48))) + "7a" if i % 2 else f"{rng.choice(names)}_{rng.choice(names)}{i % 10}"
+        cases.append((1000 + i, f"{t[:at]} {rng.choice(['bearer', 'credential', 'private key', 'Authorization:'])} {value}{t[at:]}", value))
+    got = rows(secrets.find_secrets(spark.createDataFrame(whole + [c[:2] for c in cases], "doc_id long, text string")))
+    hit = lambda c: any(k == "novel" and c[1][int(s) : int(e)] == c[2] for k, s, e in (x.split(":") for x in got[c[0]]["spans"].split(",") if x))
+    secret, names_hit = [hit(c) for c in cases if c[0] % 2], [hit(c) for c in cases if not c[0] % 2]
+    assert np.mean(secret) > 0.97 and np.mean(names_hit) < 0.1
+
+
 def test_op9_secrets_do_not_hide_secrets(spark):
     first, second, third = "xK9vQ2mZ7pL4tR8wB3nY6cD1", "hT5jW8qF2sV7gN4kP9rX3bM6", "uE4dL7zC1yH8aJ3oS6iG9fQ2"
     text = f"the token is {first} and the secret is {second} here"
