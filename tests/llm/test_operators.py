@@ -326,6 +326,89 @@ def test_op5_contexts_cross_shapes(spark):
     assert not any("context" in got[i]["spans"] for i, _ in known + plain)
 
 
+def brute_contexts(docs):
+    """doc_id -> context spans: every round over plain lists of (pattern, instance) occurrences, confidence in whole hundredths."""
+    bare = lambda w: re.sub("[0-9]+", "9", w.strip("\"'.,;!?()[]<>*#$%&|").lower())
+    shape = lambda x: re.sub("[0-9]+", "9", re.sub("[A-Za-z]+", "a", x))
+    seen, seeds = [], set()
+    for row, (i, t) in enumerate(docs):
+        base = brute_pii(t or "")
+        found = [(s, e, True) for _, s, e in base]
+        for m in re.finditer(r"[A-Za-z0-9]+(?:[._:/@+-]+[A-Za-z0-9]+)*", t or ""):
+            looks = re.search(r"[0-9]", m[0]) or re.search(r"[A-Za-z][._:/@+-]", m[0]) or re.search(r"[A-Za-z][A-Z]", m[0])
+            if len(m[0]) >= 5 and looks and all(m.end() <= s or m.start() >= e for _, s, e in base):
+                found.append((*m.span(), False))
+        for s, e, seed in found:
+            x = t[s:e]
+            ahead, behind = ["", "", *t[max(0, s - 80) : s].split()][-2:], t[e : e + 80].split()
+            two, one = map(bare, ahead)
+            kinds = [f"L {two} {one} _", f"W {one} _"] + ([f"B {one} _ {bare(behind[0])}"] if behind else []) if one else []
+            seen.append((row, s, e, x, seed, {f"{k} {shape(x)}" for k in kinds} | {f"any {k}" for k in kinds}))
+            if seed:
+                seeds.add(x)
+    # an instance that is a seed in a pattern is a seed there, wherever it stands
+    edges = defaultdict(lambda: [False, 0])
+    for _, _, _, x, seed, ps in seen:
+        for p in ps:
+            edges[p, x][0] |= seed
+            edges[p, x][1] += 1
+    known = {}
+    while True:
+        learned = defaultdict(int)
+        for (p, x), (seed, _) in edges.items():
+            if not seed:
+                learned[x] = max(learned[x], known.get(p, 0))
+        sums = defaultdict(lambda: [0, 0, set()])
+        for (p, x), (seed, n) in edges.items():
+            trust = 100 if seed else learned[x]
+            sums[p][0] += n * trust
+            sums[p][1] += n
+            if trust >= 60:
+                sums[p][2].add(x)
+        now = {p: a // n for p, (a, n, who) in sums.items() if a // n >= 60 and len(who) >= 3}
+        if now == known:
+            break
+        known = now
+    out = [[] for _ in docs]
+    for row, s, e, _, seed, ps in seen:
+        if not seed and ps & set(known):
+            out[row].append((s, e))
+    return [sorted(set(x)) for x in out], known
+
+
+def test_op5_contexts_against_brute_force(spark, docs):
+    rng = random.Random(29)
+    kinds = [lambda: f"u{rng.randint(1, 400)}@m{rng.randint(1, 9)}.example.org", lambda: f"{rng.randint(1, 250)}.{rng.randint(1, 250)}.7.9", lambda: f"AB-{rng.randint(1, 40)}", lambda: rng.choice(["JaneDoe", "QX-KLM", "j.roe", "x.y.z", "word"]), lambda: str(rng.randint(10_000, 10_060)), lambda: f"+49 30 {rng.randint(1000, 9999)} {rng.randint(1000, 9999)}"]
+    heads = ["mail to", "staff id", "the host", "call", "part no", "a"]
+    likely = {h: rng.sample(kinds, 2) for h in heads}
+    made = []
+    for i in range(160):
+        words = []
+        for _ in range(rng.randint(0, 6)):
+            h = rng.choice(heads)
+            words.append(f"{h} {rng.choice(likely[h] if rng.random() < 0.85 else kinds)()} {rng.choice(['now', 'or', 'is up,'])}")
+        made.append((i, " ".join(words)))
+    made += [(500, None), (501, ""), (502, made[3][1]), (502, made[3][1]), (None, made[5][1])]
+    want, known = brute_contexts(made)
+    assert sum(map(len, want)) > 30 and len({p.split("_")[0] for p in known}) > 5
+    for block in (200_000, 7):
+        got = personal_data.find_personal_data(spark.createDataFrame(made, "doc_id long, text string"), block).collect()
+        spans = lambda r: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("context")]
+        assert sorted((repr(r["doc_id"]), spans(r)) for r in got) == sorted((repr(i), w) for (i, _), w in zip(made, want))
+        assert all(r["n_context"] == len(spans(r)) and r["n_spans"] == len([x for x in r["spans"].split(",") if x]) for r in got)
+    table = sorted(texts(docs).items())
+    want, _ = brute_contexts(table)
+    got = rows(personal_data.find_personal_data(docs))
+    assert [got[i]["n_context"] for i, _ in table] == list(map(len, want))
+
+
+def test_op5_finds_identifiers_without_digits(spark):
+    known = [(i, f"staff contact u{i}@mail{i % 7}.example.org is on call") for i in range(30)]
+    unseen = [(100, "staff contact QX-Kelm is on call"), (101, "a well-known name"), (102, "staff contact " + "A-b" * 200 + " is on call")]
+    got = rows(personal_data.find_personal_data(spark.createDataFrame(known + unseen, "doc_id long, text string")))
+    assert [got[i]["spans"] for i in (100, 101, 102)] == ["context:14:21", "", "context:14:614"]
+
+
 def test_op6_is_the_library(docs, odd):
     import sentencepiece
 
