@@ -106,6 +106,32 @@ def test_op1_cache_is_bounded(monkeypatch):
     assert [c.count([x])[0] for x in (LONG[:3000], "a b", LONG[:3000])] == [len(c.library.encode(x).ids) for x in (LONG[:3000], "a b", LONG[:3000])]
 
 
+def test_op1_blanks_specials_and_blocks(monkeypatch):
+    rng = random.Random(31)
+    parts = ["a", "Word", "it's", " ", " ", "  ", "\n", " \n", "\t", "\u3000", "\u00a0", "\x1c", "\x85", "\u200b", "%%%", "é", "日本", "12", ", ", "<|endoftext|>", "<|endof", "\U0001f600"]
+    made = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(1500)] + ["x" * 300, " ", "   ", " a", "a ", "<|endoftext|> a", "<|endoftext|><|endoftext|>"]
+    for block in (1 << 20, 16):
+        monkeypatch.setattr(token_counts, "BLOCK", block)
+        c = token_counts.Lengths(JSON, {" a": 1, "Word": 1})
+        want = [len(e) for e in c.library.encode_batch(made, add_special_tokens=False)]
+        assert c.count(made) == want and c.count(made[::-1]) == want[::-1]
+
+
+def test_op1_table_holds_the_frequent_pre_tokens(spark, docs):
+    counts = Counter(w for t in texts(docs).values() for w in token_counts._split(t))
+    assert dict.fromkeys(token_counts.frequent_pre_tokens(docs, 1 << 20)).keys() == {w for w in counts if len(w) < token_counts.CACHED_CHARS - 2} | set(token_counts.frequent_pre_tokens(docs, 1 << 20))
+    few = token_counts.frequent_pre_tokens(docs, 500)
+    share = sum(counts.values()) / 500
+    assert len(few) <= 500 and {w for w, n in counts.items() if n > 4 * share} <= set(few)
+    lengths, library = token_counts.frequent_lengths(docs, JSON, 500), token_counts.Lengths(JSON, {}).library
+    assert all(n == len(library.encode(w).ids) for w, n in lengths.items())
+
+
+def test_op1_refuses_other_tokenizers(tmp_path):
+    with pytest.raises(ValueError):
+        token_counts.Lengths(queries.tokenizer_path("word_bpe_49k.json"), {})
+
+
 def brute_base(t):
     w = SPACE.findall(t or "")
     seen, dup = set(), 0
