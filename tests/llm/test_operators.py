@@ -290,6 +290,65 @@ def test_op4_alignment():
         got = licenses.aligned(a, b)
         assert all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
     assert len(licenses.aligned(list("abcdef"), list("abxdef"))) == 5
+    assert len(licenses.aligned("a b a b a b".split(), "b a b a b a".split())) == 5
+
+
+def test_op4_gaps_without_anchors_are_common_subsequences():
+    rng = random.Random(37)
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+        return row[-1]
+
+    def patience(a, b):
+        """Aligned words by the definition, over lists: ends, anchors, gaps."""
+        n = 0
+        while a and b and a[0] == b[0]:
+            a, b, n = a[1:], b[1:], n + 1
+        while a and b and a[-1] == b[-1]:
+            a, b, n = a[:-1], b[:-1], n + 1
+        once = [x for x in a if a.count(x) == b.count(x) == 1]
+        if not once:
+            return n + longest(a, b)
+        pairs = [(a.index(x), b.index(x)) for x in once]
+        best: list = []
+        for i, p in enumerate(pairs):
+            ahead = max((x for x in best if x[-1][1] < p[1]), key=len, default=[])
+            best.append([*ahead, p])
+        size = max(map(len, best))
+        return n, size, pairs, a, b
+
+    for _ in range(2000):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        got = licenses.common(a, b)
+        assert len(got) == longest(a, b) and all(a[i] == b[j] for i, j in got)
+        want, mine = patience(a, b), licenses.aligned(a, b)
+        if isinstance(want, int):
+            assert len(mine) == want
+        else:
+            assert want[0] + want[1] <= len(mine) <= longest(a, b)
+
+
+def test_op4_names_and_versions_must_stand_there(spark):
+    t = licenses.TEMPLATES
+    cases = [
+        ("Released under the BSD License", ""),
+        ("Licensed under the GNU General Public License, version 2", "GPL-2.0-line"),
+        ("licensed under the GNU Lesser General Public License, version 3", "LGPL-3.0-line"),
+        ("licensed under the GNU General Public License, version 4", ""),
+        ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0-line"),
+        ("Licensed under CC BY 4.0", "CC-BY-4.0-line"),
+        ("Licensed under CC BY 3.0", ""),
+        *((t[k].replace("*", "").replace("\n", " ").lower(), k) for k in t),
+        *((" ".join(w for i, w in enumerate(t[k].split()) if i % 12 != 1 or "*" in t[k]), k) for k in ("MIT", "ISC", "Zlib", "BSL-1.0", "Unlicense", "BSD-2-Clause")),
+    ]
+    got = rows(licenses.find_licenses(spark.createDataFrame([(i, f"some words {x} and more") for i, (x, _) in enumerate(cases)], "doc_id long, text string")))
+    assert [got[i]["licenses"] for i in range(len(cases))] == [k for _, k in cases]
 
 
 def test_op4_finds_whole_and_edited_licenses(spark):
