@@ -76,6 +76,12 @@ def train(docs: DataFrame, alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
+
+        def rows():
+            for lang, n in sums.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
+
         for batch, raws in slices(batches):
             ids, langs = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             use = [i for i, (d, lang) in enumerate(zip(ids, langs)) if lang is not None and raws[i] and d is not None and not is_held_out(d)]
@@ -84,9 +90,10 @@ def train(docs: DataFrame, alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
             for lang in set(own):
                 mine = np.isin(owner, np.flatnonzero(own == lang))
                 sums[lang] = sums.get(lang, 0) + np.bincount(bucket[mine], minlength=BUCKETS)
-        for lang, n in sums.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
+            if len(sums) > MAX_LANGUAGES:  # dirty labels must not fill the task
+                yield from rows()
+                sums.clear()
+        yield from rows()
 
     counts = map_arrow(texts(docs, "lang"), run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).limit(MAX_LANGUAGES + 1).collect()
@@ -127,8 +134,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Null texts, and such without a letter, are ``und`` at 0; so is everything when nothing
     is labelled. Ties go to the first language by name. A null doc_id is not held out.
-    Repeated rows are predicted each; an empty table gives no rows; lang serves training
-    alone, other columns are not read.
+    Repeated rows are predicted each, alike, and are learned from as often; an empty table
+    gives no rows; lang serves training alone, other columns are not read. Texts are taken
+    whole, however long, each in memory as one slice.
     """
     langs, table = train(docs)
     model = docs.sparkSession.sparkContext.broadcast(table)

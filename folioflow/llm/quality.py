@@ -49,6 +49,8 @@ COMMON_WORDS = tuple(
 )
 _WORD_INDEX = {w.encode(): i for i, w in enumerate(COMMON_WORDS)}
 N_CLASSES, N_WORDS = len(CLASSES), len(COMMON_WORDS) + 1
+#: References at most.
+LANGUAGES = 512
 
 
 @dataclass(frozen=True)
@@ -139,30 +141,41 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """The two reference histograms of each non-null language, over every document that has ten words or more.
+def references(docs: DataFrame, rules: Rules = Rules(), most: int = LANGUAGES) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The two reference histograms of each non-null language, over every document that has ``rules.min_words`` words or more.
 
-    One row for each language and bin reaches the driver; the number of languages is that
-    of the labels in the table.
+    Of more than ``most`` labels, those with the most words are references (of equal ones
+    the first by name), so what reaches the driver and the tasks has a bound however dirty
+    the labels are; a task sends its sums on when it holds so many.
     """
+    n = N_CLASSES + N_WORDS
 
     def run(batches):
-        sums = defaultdict(lambda: np.zeros(N_CLASSES + N_WORDS, np.int64))
+        sums = defaultdict(lambda: np.zeros(n, np.int64))
+
+        def rows():
+            keys = list(sums)
+            return pa.RecordBatch.from_arrays([pa.array([k for k in keys for _ in range(n)], pa.string()), pa.array(list(range(n)) * len(keys), pa.int32()), pa.array(np.concatenate([sums[k] for k in keys]))], ["lang", "bin", "n"])
+
         for batch, raws in slices(batches):
             c, w = histograms(raws)
             for i, lang in enumerate(batch.column(2).to_pylist()):
-                if w[i].sum() >= Rules.min_words:
+                if w[i].sum() >= rules.min_words:
                     sums[lang][:N_CLASSES] += c[i]
                     sums[lang][N_CLASSES:] += w[i]
+            if len(sums) > most:
+                yield rows()
+                sums.clear()
         if sums:
-            keys = sorted(sums)
-            n = N_CLASSES + N_WORDS
-            yield pa.RecordBatch.from_arrays([pa.array([k for k in keys for _ in range(n)]), pa.array(list(range(n)) * len(keys), pa.int32()), pa.array(np.concatenate([sums[k] for k in keys]))], ["lang", "bin", "n"])
+            yield rows()
 
-    rows = map_arrow(texts(docs, "lang").filter("lang is not null and text is not null"), run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
-    out: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(N_CLASSES + N_WORDS))
+    bins = map_arrow(texts(docs, "lang").filter("lang is not null and text is not null"), run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    words = F.sum(F.when(F.col("bin") >= N_CLASSES, F.col("n")).otherwise(0))
+    rows = bins.groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("bins"), words.alias("words")).orderBy(F.desc("words"), "lang").limit(most).collect()
+    out: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
     for r in rows:
-        out[r["lang"]][r["bin"]] = r["n"]
+        for b in r["bins"]:
+            out[r["lang"]][b["bin"]] = b["n"]
     return {k: (v[:N_CLASSES], v[N_CLASSES:]) for k, v in sorted(out.items())}
 
 
@@ -201,9 +214,12 @@ def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     Null or empty texts have no words, so they fail the base rules. With no labelled
     document there are no references, and the base rules decide alone. Rows that repeat
-    are judged each; other columns are not read; an empty table gives no rows.
+    are judged each, alike, and count as often in the references; a document as far from
+    its nearest references as a threshold is kept. Texts are judged whole, however long,
+    each in memory as one slice. A null doc_id stays null; columns other than lang are not
+    read; an empty table gives no rows.
     """
-    refs = docs.sparkSession.sparkContext.broadcast(references(docs))
+    refs = docs.sparkSession.sparkContext.broadcast(references(docs, rules))
 
     def run(batches):
         for batch, raws in slices(batches):
@@ -214,8 +230,12 @@ def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``docs`` that pass, whole and unchanged, filtered where they are read."""
-    refs = docs.sparkSession.sparkContext.broadcast(references(docs))
+    """The rows of ``docs`` that ``quality`` keeps, whole and unchanged, filtered where they are read.
+
+    Null and empty texts fail the base rules and go; repeated rows stay or go together; a
+    null doc_id and columns of any other name pass through; an empty table gives no rows.
+    """
+    refs = docs.sparkSession.sparkContext.broadcast(references(docs, rules))
 
     def run(batches):
         for batch, raws in slices(batches):

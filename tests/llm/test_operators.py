@@ -183,6 +183,56 @@ def test_op2_word_limits():
     assert limit[0] < bare[0] and limit[1] == np.inf
 
 
+def test_op2_references_are_bounded_and_whole(spark, docs):
+    want = defaultdict(lambda: [np.zeros(quality.N_CLASSES), np.zeros(quality.N_WORDS)])
+    for r in docs.filter("lang is not null and text is not null").collect():
+        c, w = quality.histograms([r["text"].encode()])
+        if w.sum() >= 10:
+            want[r["lang"]][0] += c[0]
+            want[r["lang"]][1] += w[0]
+    got = quality.references(docs)
+    assert got.keys() == want.keys() and all((got[k][i] == want[k][i]).all() for k in got for i in (0, 1))
+    many = docs.withColumn("lang", F.concat("lang", (F.col("doc_id") % 50).cast("string")))
+    few = quality.references(many, most=7)
+    size = defaultdict(int)
+    for r in many.filter("lang is not null and text is not null").collect():
+        n = len(r["text"].encode().split())
+        size[r["lang"]] += n if n >= 10 else 0
+    assert set(few) == set(sorted(size, key=lambda k: (-size[k], k))[:7])
+    longer = quality.references(docs, quality.Rules(min_words=200))
+    assert all(longer[k][1].sum() < got[k][1].sum() for k in longer)
+
+
+def test_op2_verdicts_against_brute_force(docs):
+    """The distances and the verdict from plain counts, one document at a time."""
+    def js(p, q):
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        m = [(x + y) / 2 for x, y in zip(p, q)]
+        kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m) if x)
+        return math.sqrt(max(0, (kl(p) + kl(q)) / 2))
+
+    refs = quality.references(docs)
+    bare = [0] * (quality.N_WORDS - 1) + [1]
+    got = rows(quality.quality(docs))
+    for i, t in texts(docs).items():
+        n_words, _, _, _, n_repeat = brute_base(t)
+        failed = n_words < 10 or 100 * n_repeat > 20 * n_words
+        split = [w.decode() for w in t.encode().lower().split()]
+        words = [split.count(w) for w in quality.COMMON_WORDS]
+        words.append(len(split) - sum(words))
+        kinds = [0] * quality.N_CLASSES
+        for ch in t:
+            k = next((n for n, x in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n", ".,;:?!'\"-", "()[]{}/")) if ch in x), 8 if ch > "\x7f" else 9 if ch < " " or ch == "\x7f" else 7)
+            kinds[k] += 1
+        far = bool(refs)
+        for c, w in refs.values():
+            reach = js(bare, w)
+            by_class = sum(kinds) >= 200 and js(kinds, c) > 0.30
+            by_words = n_words >= 60 and reach >= 0.2 and js(words, w) > 0.95 * reach
+            far = far and (by_class or by_words)
+        assert (got[i]["base_failed"], got[i]["kept"]) == (failed, not failed and not far), i
+
+
 def test_js_distance():
     p, q = np.array([[1, 0], [1, 1], [0, 0]]), np.array([[0, 1], [2, 2]])
     d = quality.js_distance(p, q)
@@ -560,6 +610,47 @@ def test_op7_held_out_accuracy(docs):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def brute_grams(t):
+    low_t, x = t.lower(), []
+    for i, ch in enumerate(low_t):
+        if ch.isalpha():
+            x.append(ord(ch))
+        elif i and low_t[i - 1].isalpha():
+            x.append(32)
+    out = []
+    for n in (1, 2, 3):
+        for s in range(len(x) - n + 1):
+            h = 0
+            for k in range(n):
+                h = (h * 0x9E3779B1 + x[s + k] + k + 1) & 0xFFFFFFFF
+            g = (h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF
+            out.append((g ^ g >> 13) >> 16)
+    return out
+
+
+def test_op7_against_brute_force(spark, docs):
+    """Multinomial naive Bayes over hashed n-grams by its definition, in plain counts."""
+    some = docs.filter("doc_id % 3 = 0").withColumn("lang", F.when(F.col("doc_id") % 7 != 0, F.col("lang")))
+    table = [tuple(r) for r in some.select("doc_id", "text", "lang").collect()] + [(9_001, None, "en"), (9_002, "12 34", "fr"), (9_003, "éa", None)]
+    counts = defaultdict(Counter)
+    for i, t, lang in table:
+        if lang is not None and t and zlib.crc32(str(i).encode()) % 5:
+            counts[lang].update(brute_grams(t))
+    size = {k: sum(c.values()) for k, c in counts.items()}
+    got = rows(language_id.identify(spark.createDataFrame(table, "doc_id long, text string, lang string")))
+    for i, t, lang in table:
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        total = {k: sum(math.log((c[g] + 0.5) / (size[k] + 0.5 * 65536)) for g in brute_grams(t)) for k, c in counts.items()}
+        best = max(total, key=total.get)
+        rest = [v for k, v in total.items() if k != best]
+        if max(rest) < total[best] - 0.1:
+            assert got[i]["lang_pred"] == best
+            assert abs(got[i]["score"] - 1 / sum(math.exp(v - total[best]) for v in total.values())) < 1e-2
+
+
 def test_op7_features_and_unknown(odd, spark):
     got = {r["doc_id"]: r for r in language_id.identify(odd).collect()}
     assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3
