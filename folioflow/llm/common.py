@@ -152,7 +152,7 @@ def buckets_for(partitions: int) -> int:
 
 def pack(keys: np.ndarray, *columns: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed columns) pieces, sorted by bucket; ``groups`` buckets."""
-    b = ((mix(keys) >> U64(32)) * U64(groups) >> U64(32)).astype(np.int32)
+    b = bucket_of(keys, groups)
     order = np.argsort(b, kind="stable")
     b = b[order]
     cuts = np.flatnonzero(np.diff(b)) + 1
@@ -162,6 +162,26 @@ def pack(keys: np.ndarray, *columns: np.ndarray, groups: int) -> Iterator[tuple[
         yield int(b[i]), b"".join(c[i:j].tobytes() for c in cols)
 
 
+def bucket_of(keys: np.ndarray, groups: int) -> np.ndarray:
+    return ((mix(keys) >> U64(32)) * U64(groups) >> U64(32)).astype(np.int32)
+
+
+def by_bucket(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, list[bytes]]]:
+    """(values of ``names``, their ``data``) of rows that come sorted by ``names``; one group is held at a time."""
+    now, held = None, []
+    for b in batches:
+        keys = list(zip(*[b.column(b.schema.get_field_index(n)).to_pylist() for n in names]))
+        data = b.column(b.schema.get_field_index("data"))
+        for key, blob in zip(keys, data):
+            if key != now:
+                if held:
+                    yield now, held
+                now, held = key, []
+            held.append(blob.as_py())
+    if held:
+        yield now, held
+
+
 def unpack(blob: bytes, *dtypes: str) -> list[np.ndarray]:
     kinds = [np.dtype(d) for d in dtypes]
     n = len(blob) // sum(k.itemsize for k in kinds)

@@ -11,9 +11,10 @@ one and none, has 65,535 nodes at most. A node's weight is the posterior of stop
 the prediction mixes the estimates of all depths along the path. A context that training
 never showed predicts 1/2, as an empty node does.
 
-Nodes are broadcast in blocks of a bounded size, cut by the two bytes next to the symbol;
-a model beyond one block takes a pass over the documents for each, and partial scores are
-added. A worker evaluates a gram once and keeps it.
+Nodes are broadcast in blocks of a bounded size, cut by the two bytes next to the symbol.
+The documents are read once, however many blocks there are: a task holds the distinct
+grams of some megabytes of text, opens one block after the other for them, and adds up
+each text's score. A worker evaluates a gram once and keeps it.
 
 Base score. Words are counted by 64-bit hashes, summed in the tasks and again in the
 reducers, for every training token. The most frequent, up to a fixed number, are
@@ -32,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import U64, buckets_for, hash_words, joined, map_arrow, mix, pack, slices, sum_by_key, texts, unpack
+from folioflow.llm.common import U64, bucket_of, buckets_for, by_bucket, hash_words, joined, map_arrow, mix, pack, slices, sum_by_key, texts, unpack
 from folioflow.runtime import shuffle_partitions, stored
 
 DEPTH = 4
 FOLDS, FOLD = 7, 2
 #: Nodes in a broadcast block, 16 bytes each.
 NODES_IN_BLOCK = 5_000_000
+#: Bytes of text whose distinct grams a task holds where there are several blocks.
+HELD = 48 << 20
 #: Words of the broadcast tier, 16 bytes each.
 FREQUENT_WORDS = 1 << 20
 END = U64(0xE4D0E4D0E4D0E4D1)
@@ -239,22 +242,19 @@ def gathered(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         yield from out()
 
     def reduce(batches):
-        words, codes = [], []
-        for b in batches:
-            for kind, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                _, k, n = unpack(data, "u8", "u8", "i8")
-                (words if kind == WORDS else codes).append((k, n))
-        if words:
-            k, n = sum_by_key(*map(np.concatenate, zip(*words)))
-            yield _blob_rows(WORDS, [(0, k.tobytes() + n.tobytes())])
-        if codes:
-            nodes, (key, a, b, p) = climb(*leaves(*sum_by_key(*map(np.concatenate, zip(*codes))), depth), depth, 2)
+        for (kind, bucket), blobs in by_bucket(batches, "kind", "bucket"):
+            k, n = sum_by_key(*map(np.concatenate, zip(*(unpack(d, "u8", "u8", "i8")[1:] for d in blobs))))
+            del blobs
+            if kind == WORDS:
+                yield _blob_rows(WORDS, [(bucket, k.tobytes() + n.tobytes())])
+                continue
+            nodes, (key, a, b, p) = climb(*leaves(k, n, depth), depth, 2)
             key3, w, one = (np.concatenate(x) for x in zip(*nodes))
-            yield _blob_rows(NODES, [(0, key3.tobytes() + w.tobytes() + one.tobytes())])
-            yield _blob_rows(TOP, [(0, key.tobytes() + a.tobytes() + b.tobytes() + p.tobytes())])
+            yield _blob_rows(NODES, [(bucket, key3.tobytes() + w.tobytes() + one.tobytes())])
+            yield _blob_rows(TOP, [(bucket, key.tobytes() + a.tobytes() + b.tobytes() + p.tobytes())])
 
     packed = map_arrow(texts(docs), emit, "kind int, bucket int, data binary")
-    return stored(map_arrow(packed.repartition(parts, "kind", "bucket"), reduce, "kind int, bucket int, data binary"), "lm-model")
+    return stored(map_arrow(packed.repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket"), reduce, "kind int, bucket int, data binary"), "lm-model")
 
 
 def _top(model: DataFrame, depth: int) -> tuple[np.ndarray, ...]:
@@ -278,61 +278,59 @@ def _top(model: DataFrame, depth: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*one))
 
 
-def tree_blocks(model: DataFrame, depth: int = DEPTH, most: int = NODES_IN_BLOCK) -> Iterator[tuple[Tree, int, int]]:
-    """(tree, block, blocks): the nodes whose branch falls in the block, with the shared top; streamed, one block at a time."""
+def tree_blocks(model: DataFrame, depth: int = DEPTH, most: int = NODES_IN_BLOCK) -> Iterator[tuple[Tree, int]]:
+    """(tree, its first bucket): the nodes of consecutive buckets, ``most`` at most unless one bucket has more, with the shared top; each node reaches the driver once, a block at a time."""
     top = _top(model, depth)
-    nodes = model.filter(f"kind = {NODES}").select("data")
-    total = nodes.agg(F.sum(F.length("data"))).head()[0] or 0
-    blocks = max(1, math.ceil(total / 16 / most))
-    for b in range(blocks):
-        got = [top]
-        for r in nodes.toLocalIterator():
-            key, w, one = unpack(bytes(r["data"]), "u8", "f4", "f4")
-            keep = in_block((key >> U64(8)) & U64(0xFFFF), b, blocks)
-            got.append((key[keep], w[keep], one[keep]))
-        yield Tree(*[np.concatenate(x) for x in zip(*got)], depth), b, blocks
+    nodes = model.filter(f"kind = {NODES}")
+    sizes = sorted((r["bucket"], r["n"]) for r in nodes.groupBy("bucket").agg(F.sum(F.length("data")).alias("n")).collect())
+    cuts, held = [0], 0
+    for bucket, n in sizes:
+        if held and held + n > 16 * most:
+            cuts.append(bucket)
+            held = 0
+        held += n
+    for low, high in zip(cuts, [*cuts[1:], None]):
+        part = nodes.filter(F.col("bucket") >= low) if high is None else nodes.filter((F.col("bucket") >= low) & (F.col("bucket") < high))
+        got = [top, *(unpack(bytes(r["data"]), "u8", "f4", "f4") for r in part.select("data").toLocalIterator())]
+        yield Tree(*[np.concatenate(x) for x in zip(*got)], depth), low
 
 
-def in_block(branches: np.ndarray, block: int, blocks: int) -> np.ndarray:
-    return mix(branches) % U64(blocks) == U64(block)
+# scoring
 
 
-# scoring
+def rank(n: np.ndarray) -> np.ndarray:
+    """A place for each count, in their order: counts below 4096 have their own, beyond there are 256 for each doubling."""
+    return np.where(n < 4096, n, 4096 + np.floor(256 * np.log2(np.maximum(n, 4096) / 4096))).astype(np.int64)
 
 
 def word_tiers(model: DataFrame, most: int = FREQUENT_WORDS) -> tuple[int, int, int, np.ndarray, np.ndarray]:
-    """(N, V, least count of the broadcast tier, its hashes in order, its counts); the least count is chosen so that the tier keeps its bound."""
-    rank = 4096
+    """(N, V, least rank of the broadcast tier, its hashes in order, its counts); the least rank is chosen so that the tier keeps its bound."""
 
     def census(batches):
         for b in batches:
             for d in b.column(0).to_pylist():
                 n = unpack(d, "u8", "i8")[1]
-                at = np.bincount(np.minimum(n, rank - 1), minlength=rank)
-                keep = np.flatnonzero(at)
-                yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(at[keep], pa.int64()), pa.array(np.bincount(np.minimum(n, rank - 1), n, rank)[keep].astype(np.int64))], ["c", "words", "tokens"])
+                r, back = np.unique(rank(n), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(np.bincount(back)), pa.array(np.bincount(back, n).astype(np.int64))], ["rank", "words", "tokens"])
 
     words = model.filter(f"kind = {WORDS}").select("data")
-    rows = map_arrow(words, census, "c long, words long, tokens long").groupBy("c").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).collect()
+    rows = map_arrow(words, census, "rank long, words long, tokens long").groupBy("rank").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).collect()
     total, distinct = sum(r["tokens"] for r in rows), sum(r["words"] for r in rows)
-    least, taken = rank, 0
-    for r in sorted(rows, key=lambda r: -r["c"]):
+    least, taken = np.iinfo(np.int64).max, 0
+    for r in sorted(rows, key=lambda r: -r["rank"]):
         if taken + r["words"] > most:
             break
         taken += r["words"]
-        least = r["c"]
+        least = r["rank"]
 
     def frequent(batches):
         for b in batches:
             for d in b.column(0).to_pylist():
                 k, n = unpack(d, "u8", "i8")
-                at = n >= least
+                at = rank(n) >= least
                 yield pa.RecordBatch.from_arrays([pa.array([k[at].tobytes() + n[at].tobytes()], pa.binary())], ["data"])
 
-    # counts of rank - 1 and more share a place in the census: if these alone exceed the bound, no word is broadcast and all are rare
-    if least == rank:
-        least = np.iinfo(np.int64).max
-    got = [unpack(bytes(r["data"]), "u8", "i8") for r in map_arrow(words, frequent, "data binary").toLocalIterator()] if least < rank else []
+    got = [unpack(bytes(r["data"]), "u8", "i8") for r in map_arrow(words, frequent, "data binary").toLocalIterator()] if taken else []
     k, n = (np.concatenate(x) for x in zip(*got)) if got else (np.empty(0, U64), np.empty(0, np.int64))
     order = np.argsort(k)
     return total, distinct, least, k[order], n[order]
@@ -352,8 +350,11 @@ def score(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES_IN_BLOCK, freq
 
     ``score`` is the log10 probability of the lower-cased bytes and the end. Null and empty texts are an end alone. A null
     doc_id is neither held out nor learned from. Rows that repeat doc_id and text are
-    scored each, alike. With nothing to learn from, every bit has probability 1/2 and the
-    base score is 0. An empty table gives no rows; other columns are not read.
+    scored each, alike, and are learned from as often. With nothing to learn from, every
+    bit has probability 1/2 and the base score is 0. Texts are scored and learned whole,
+    however long, each in memory as one slice. Counts have no ties to settle: the tier of
+    broadcast words takes all of equal rank or none. An empty table gives no rows; other
+    columns are not read.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
@@ -365,84 +366,102 @@ def score(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES_IN_BLOCK, freq
     denominator = float(total + distinct + 1)
     docs = texts(docs)
 
-    def tree_scores(tree: Tree, raws, block: int, blocks: int) -> np.ndarray:
-        code, first = grams(raws, depth)
-        if blocks == 1:
-            lp = tree.log_probability(code)
-        else:
-            lp = np.zeros(len(code))
-            mine = in_block(branch(code), block, blocks)
-            lp[mine] = tree.log_probability(code[mine])
-        return np.add.reduceat(lp, first[:-1]) / math.log(10)
-
-    def passes(shared, block: int, blocks: int, base: bool):
-        def run(batches):
-            tree = worker_tree(shared)
-            words, n_words = tier.value
-            for batch, raws in slices(batches, most=2 << 20):  # rare words are packed by slice
-                ctw = tree_scores(tree, raws, block, blocks)
-                data, at = joined(raws, lower=True)
-                h, starts, _ = hash_words(data)
-                first = np.searchsorted(starts, at)
-                ids = batch.column(0)
-                mark = marks(raws)
-                if not base:
-                    yield _partial(ids, mark, ctw=ctw)
-                    continue
-                # the end is each text's last token
-                owner = np.concatenate((np.repeat(np.arange(len(raws)), np.diff(first)), np.arange(len(raws))))
-                h = np.concatenate((h, np.full(len(raws), END)))
-                c = looked_up(h, words, n_words)
-                sure = (c > 0) if rare_words else np.ones(len(c), bool)
-                n_known = np.bincount(owner[c > 0], minlength=len(raws))
-                log = np.bincount(owner[sure], np.log10((c[sure] + 1) / denominator), len(raws))
-                yield _partial(ids, mark, n=np.diff(first) + 1, known=n_known, log=log, ctw=ctw)
-                if not sure.all():
-                    yield from _misses(ids, mark, owner[~sure], h[~sure], groups)
-
-        return map_arrow(docs, run, "kind int, bucket int, data binary, doc_id long, mark long, n long, known long, log double, ctw double")
-
-    parts_of = [passes(spark.sparkContext.broadcast((uuid.uuid4().hex, tree)), b, n, b == 0) for tree, b, n in tree_blocks(model, depth, nodes)]
-    scored = parts_of[0]
-    for p in parts_of[1:]:
-        scored = scored.union(p)
+    trees, cuts = [], []
+    for tree, low in tree_blocks(model, depth, nodes):
+        trees.append(spark.sparkContext.broadcast((uuid.uuid4().hex, tree)))
+        cuts.append(low)
+    node_groups = buckets_for(parts)
+
+    def scored_by_blocks(held) -> pa.RecordBatch:
+        """Partial rows of the held slices: (ids, marks, distinct grams, place of each gram among them, where texts begin)."""
+        codes, back = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
+        block = np.searchsorted(cuts, bucket_of(branch(codes), node_groups), side="right") - 1
+        lp = np.zeros(len(codes))
+        for i in np.unique(block):
+            mine = block == i
+            lp[mine] = released(trees[i]).evaluate(codes[mine])
+        out, at = [], 0
+        for ids, mark, own, places, first in held:
+            got = lp[back[at : at + len(own)]][places]
+            at += len(own)
+            out.append(_partial(ids, mark, ctw=np.add.reduceat(got, first[:-1]) / math.log(10)))
+        return out
+
+    def run(batches):
+        words, n_words = tier.value
+        held, size = [], 0
+        for batch, raws in slices(batches, most=2 << 20):  # rare words are packed by slice
+            ids, mark = batch.column(0), marks(raws)
+            code, begin = grams(raws, depth)
+            ctw = None
+            if len(trees) == 1:
+                ctw = np.add.reduceat(worker_tree(trees[0]).log_probability(code), begin[:-1]) / math.log(10)
+            else:
+                own, places = np.unique(code, return_inverse=True)
+                held.append((ids, mark, own, places.astype(np.int32), begin))
+                size += len(code)
+            del code
+            data, at = joined(raws, lower=True)
+            h, starts, _ = hash_words(data)
+            first = np.searchsorted(starts, at)
+            # the end is each text's last token
+            owner = np.concatenate((np.repeat(np.arange(len(raws)), np.diff(first)), np.arange(len(raws))))
+            h = np.concatenate((h, np.full(len(raws), END)))
+            c = looked_up(h, words, n_words)
+            sure = (c > 0) if rare_words else np.ones(len(c), bool)
+            n_known = np.bincount(owner[c > 0], minlength=len(raws))
+            log = np.bincount(owner[sure], np.log10((c[sure] + 1) / denominator), len(raws))
+            yield _partial(ids, mark, n=np.diff(first) + 1, known=n_known, log=log, ctw=ctw)
+            if not sure.all():
+                yield from _misses(ids, mark, owner[~sure], h[~sure], groups)
+            if size > HELD:
+                yield from scored_by_blocks(held)
+                held, size = [], 0
+        if held:
+            yield from scored_by_blocks(held)
+
+    scored = map_arrow(docs, run, "kind int, bucket int, data binary, doc_id long, mark long, n long, known long, log double, ctw double")
     if rare_words:
-        cuts = model.filter(f"kind = {WORDS}").select("data")
+        counted = model.filter(f"kind = {WORDS}").select("data")
 
         def rare(batches):
             for b in batches:
                 for d in b.column(0).to_pylist():
                     k, n = unpack(d, "u8", "i8")
-                    k, n = k[n < least], n[n < least]
+                    below = rank(n) < least
+                    k, n = k[below], n[below]
                     pieces = list(pack(k, k, n, groups=groups))
                     m = len(pieces)
                     none = pa.nulls(m, pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array([2] * m, pa.int32()), pa.array([p for p, _ in pieces], pa.int32()), pa.array([x for _, x in pieces], pa.binary()), none, none, none, none, pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], _PARTIAL)
 
         def meet(batches):
-            model_parts, wanted = [], []
+            """Partial rows pass; of each bucket, which comes sorted, the counts come ahead of the tokens that want them."""
+            now, model_parts, words, n = None, [], np.empty(0, U64), np.empty(0, np.int64)
             for b in batches:
                 kind = b.column(0).to_numpy()
                 rows = b.filter(pa.array(kind == 0))
                 if rows.num_rows:
                     yield rows
-                for k, d in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                    if k == 2:
+                for i in np.flatnonzero(kind > 0):
+                    bucket, d = b.column(1)[i].as_py(), b.column(2)[i].as_py()
+                    if bucket != now:
+                        now, model_parts, words, n = bucket, [], np.empty(0, U64), np.empty(0, np.int64)
+                    if kind[i] == 2:
                         model_parts.append(unpack(d, "u8", "u8", "i8")[1:])
-                    elif k == 1:
-                        wanted.append(d)
-            words, n = sum_by_key(*map(np.concatenate, zip(*model_parts))) if model_parts else (np.empty(0, U64), np.empty(0, np.int64))
-            del model_parts
-            for d in wanted:
-                ids, has, mark, row, k = _open_misses(d)
-                c = looked_up(k, words, n)
-                used = np.unique(row)
-                log = np.bincount(row, np.log10((c + 1) / denominator), len(ids))[used]
-                yield _partial(pa.array(ids[used], mask=~has[used]), mark[used], known=np.bincount(row[c > 0], minlength=len(ids))[used], log=log)
-
-        everything = scored.union(map_arrow(cuts, rare, scored.schema))
+                        continue
+                    if model_parts:
+                        words, n = sum_by_key(*map(np.concatenate, zip(*model_parts)))
+                        model_parts = []
+                    ids, has, mark, row, k = _open_misses(d)
+                    c = looked_up(k, words, n)
+                    used = np.unique(row)
+                    log = np.bincount(row, np.log10((c + 1) / denominator), len(ids))[used]
+                    yield _partial(pa.array(ids[used], mask=~has[used]), mark[used], known=np.bincount(row[c > 0], minlength=len(ids))[used], log=log)
+
+        everything = scored.union(map_arrow(counted, rare, scored.schema))
         place = F.when(F.col("kind") > 0, F.col("bucket").cast("long")).otherwise(F.xxhash64("doc_id", "mark"))
-        scored = map_arrow(everything.repartition(parts, place), meet, scored.schema)
+        scored = map_arrow(everything.repartition(parts, place).sortWithinPartitions("bucket", F.desc("kind")), meet, scored.schema)
     rows = F.greatest(F.count("n"), F.lit(1))
     summed = scored.groupBy("doc_id", "mark").agg(rows.alias("rows"), (F.sum("n") / rows).cast("long").alias("n_tokens"), (F.sum("known") / rows).cast("long").alias("n_known"), (F.sum("log") / rows).alias("base_score"), (F.sum("ctw") / rows).alias("score"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == FOLD, F.lit(False))
@@ -462,6 +481,14 @@ def worker_tree(shared) -> Tree:
     return _tree[1]
 
 
+def released(shared) -> Tree:
+    """A block's tree, which the worker doesn't keep."""
+    tree = shared.value[1]
+    if hasattr(shared, "_value"):
+        del shared._value
+    return tree
+
+
 def marks(raws: list[bytes | None]) -> np.ndarray:
     """A hash of each text, which with doc_id names a row."""
     import xxhash
