@@ -9,10 +9,14 @@ ones on both sides; such sets get one signature for each feature besides, so no
 lost. A set joins its own band and the one below.
 
 Equal sets are one class, by a 128-bit key, in the task that reads them, in the join and
-in the result: copies are never paired. Signatures travel packed, many to a row. A
+in the result: copies are never paired. Signatures travel packed, many to a row, with
+labels of 48 bits: what meets by chance, or shares a label, is only one more candidate. A
 signature that many classes share is cut in blocks, whose pairs are compared in separate
 tasks by size and by histograms of features, which bound the difference from below, so
-only pairs that may reach the threshold are written. Each is then verified on the sets.
+only pairs that may reach the threshold are written. Each is then verified on the sets,
+in cells of bounded bytes. What is left of a cell is a row for each class that has links
+there: how many documents it links to, and the least class it is connected with. Linked
+pairs themselves are never written.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import U64, buckets_for, hash_words, joined, map_arrow, mix, pack, slices, texts, unpack, windows
@@ -33,8 +37,11 @@ NUM, DEN = 4, 5  # the threshold: intersection / union >= NUM / DEN
 SMALL_GROUP = 48
 #: Signatures packed at a time.
 PACKED = 1 << 19
-#: Classes of one side of a block, about.
+#: Classes of one side of a block, about, and bytes that these hold.
 BLOCK = 512
+BLOCK_BYTES = 4 << 20
+#: Signatures and labels of classes travel in so many bits.
+WIRE = U64((1 << 48) - 1)
 
 
 class Band:
@@ -97,6 +104,17 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
     return np.concatenate(out), shared
 
 
+def wired(x: np.ndarray) -> np.ndarray:
+    """The low 48 bits of each value, six bytes each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def unwired(data: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = data.reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def histogram(s: np.ndarray) -> bytes:
     """How many features fall in each bin, modulo 16, two bins to a byte; a power of two of bins, so that few hold more than 16."""
     bits = max(8, math.ceil(math.log2(max(len(s), 1) / 8)))
@@ -135,8 +153,9 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links).
 
     members: doc_id, hi, lo and n_shingles of each row; (hi, lo) names a class. classes:
-    hi, lo, n, rep (its least doc_id), copies, h. links: (a, a_lo, b, b_lo), each pair of
-    different classes once.
+    hi, lo, n, rep (its least doc_id), copies, h. links: (hi, lo, more, root_hi, root_lo):
+    for each cell and class that has links there, the documents of other classes that it
+    links to, and the least class that the cell's links connect it with. Each link is in one cell.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
@@ -149,7 +168,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         many = 0
 
         def out():
-            got = list(pack(np.concatenate(sigs), np.concatenate(own), groups=groups)) if sigs else []
+            got = [(b, wired(np.concatenate(unpack(d, "u8", "u8"))).tobytes()) for b, d in pack(np.concatenate(sigs), np.concatenate(own), groups=groups)] if sigs else []
             sigs.clear()
             own.clear()
             return _rows(1, [g for g, _ in got], [b for _, b in got])
@@ -181,28 +200,33 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         yield out()
 
     def meet(batches):
-        keys, owners = [], []
+        """Members pass; the signatures of one bucket after the other, which come sorted, are brought together."""
+        now, waiting = None, []
         for batch in batches:
             kind = batch.column(0).to_numpy()
             keep = batch.filter(pa.array(kind == 0))
             if keep.num_rows:
                 yield _meeting(0, keep.num_rows, ids=keep.column(3), hi=keep.column(4), lo=keep.column(5), size=keep.column(6), shared=keep.column(7), h=keep.column(2))
-            for blob in batch.filter(pa.array(kind == 1)).column(2).to_pylist():
-                k, o = unpack(blob, "u8", "u8")
-                keys.append(k)
-                owners.append(o)
-        if not keys:
+            for i in np.flatnonzero(kind == 1):
+                bucket = batch.column(1)[i].as_py()
+                if bucket != now:
+                    yield from together(waiting)
+                    now, waiting = bucket, []
+                waiting.append(np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8).copy())
+        yield from together(waiting)
+
+    def together(blobs):
+        """Pairs of labels that share a signature, each once in the bucket; and the members of crowded signatures."""
+        if not blobs:
             return
-        k = np.concatenate(keys)
-        del keys
+        k = unwired(np.concatenate([b[: len(b) // 2] for b in blobs]))
         order = np.argsort(k)
         k = k[order]
         same = np.flatnonzero(k[1:] == k[:-1])
         if not len(same):
             return
         take = np.unique(np.concatenate((same, same + 1)))
-        k, o = k[take], np.concatenate(owners)[order[take]]
-        del owners, order
+        k, o = k[take], unwired(np.concatenate([b[len(b) // 2 :] for b in blobs]))[order[take]]
         order = np.lexsort((o, k))
         k, o = k[order], o[order]
         fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])))
@@ -234,12 +258,12 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     packed = map_arrow(texts(docs), emit, "kind int, bucket int, data binary, doc_id long, hi long, lo long, size long, shared long")
     # members only pass through; spread by document, so that copies of one text don't meet in a task
     place = F.when(F.col("kind") == 1, F.col("bucket").cast("long")).otherwise(F.xxhash64("doc_id"))
-    met = map_arrow(packed.repartition(parts, place), meet, "kind int, doc_id long, hi long, lo long, size long, shared long, h binary")
+    met = map_arrow(packed.repartition(parts, place).sortWithinPartitions("bucket"), meet, "kind int, doc_id long, hi long, lo long, size long, shared long, h binary")
     met = stored(met, "similar-met")
 
     members = met.filter("kind = 0").select("doc_id", "hi", "lo", F.col("size").alias("n_shingles"))
     classes = met.filter("kind = 0 and size > 0").groupBy("hi", "lo").agg(F.max("size").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("shared").alias("shared"), F.max("h").alias("h"))
-    classes = stored(classes, "similar-classes")
+    classes = stored(classes.withColumn("label", F.col("hi").bitwiseAND(F.lit(int(WIRE)))), "similar-classes")
     pairs = met.filter("kind = 1").select(F.col("hi").alias("a"), F.col("lo").alias("b")).distinct()
     near = _screened(pairs, classes)
     crowded = met.filter("kind = 2").select(F.col("hi").alias("sig"), F.col("lo").alias("o"))
@@ -248,8 +272,10 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ends = [F.struct(F.col(x).alias("hi"), F.col(f"{x}_lo").alias("lo")) for x in "ab"]
     near = near.select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).distinct()  # one order of each pair
     near = stored(near.select(F.col("p.hi").alias("a"), F.col("p.lo").alias("a_lo"), F.col("q.hi").alias("b"), F.col("q.lo").alias("b_lo")), "similar-near")
-    links = stored(_verified(docs, near, classes), "similar-links")
-    forget(near)
+    verified, blocks = _verified(docs, near, classes)
+    links = stored(verified, "similar-links")
+    for done in (near, blocks):
+        forget(done)
     return members, classes, links
 
 
@@ -306,8 +332,9 @@ def _bitmap(ids: DataFrame, bits: int = 24) -> bytes:
 
 def _screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, a_lo, b, b_lo) of the pairs (a, b) of labels that sizes and histograms don't rule out."""
-    side = lambda x: classes.select(F.col("hi").alias(x), F.col("lo").alias(f"{x}_lo"), F.col("n").alias(f"{x}_n"), F.col("h").alias(f"{x}_h"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"least(a_n, b_n) * {DEN} >= greatest(a_n, b_n) * {NUM}").select("a", "a_lo", "b", "b_lo", "a_n", "b_n", "a_h", "b_h")
+    pairs = pairs.withColumnsRenamed({"a": "a_label", "b": "b_label"})
+    side = lambda x: classes.select(F.col("label").alias(f"{x}_label"), F.col("hi").alias(x), F.col("lo").alias(f"{x}_lo"), F.col("n").alias(f"{x}_n"), F.col("h").alias(f"{x}_h"))
+    both = pairs.join(side("a"), "a_label").join(side("b"), "b_label").filter(f"least(a_n, b_n) * {DEN} >= greatest(a_n, b_n) * {NUM}").select("a", "a_lo", "b", "b_lo", "a_n", "b_n", "a_h", "b_h")
 
     def screen(batches):
         for batch in batches:
@@ -337,11 +364,11 @@ def _crowded_pairs(crowded: DataFrame, classes: DataFrame) -> DataFrame:
     classes that may link meet, each two in a task of their own.
     """
     crowds = crowded.groupBy("o").agg(F.count("*").alias("crowds"))
-    held = crowds.join(classes.select(F.col("hi").alias("o"), "hi", "lo", "n", "shared", "h"), "o").filter("crowds >= shared").drop("crowds", "shared")
+    held = crowds.join(classes.select(F.col("label").alias("o"), "hi", "lo", "n", "shared", "h"), "o").filter("crowds >= shared").drop("crowds", "shared")
     member = crowded.join(held, "o").drop("o")
     # two sizes that may link are at most one step apart; a second one allows for rounding
     member = member.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))))
-    own = member.groupBy("sig", "step").agg(F.count("*").alias("many")).select("sig", "step", F.ceil(F.col("many") / BLOCK).cast("int").alias("width"))
+    own = member.groupBy("sig", "step").agg(_width(F.length("h")))
     member = member.join(own, ["sig", "step"]).withColumn("block", F.pmod(F.xxhash64("hi", "lo"), F.col("width")).cast("int"))
     reach = own.select("sig", F.col("step").alias("l_step"), F.col("width").alias("l_width"), F.explode(F.array(F.col("step"), F.col("step") + 1, F.col("step") + 2)).alias("step")).join(own.withColumnRenamed("width", "r_width"), ["sig", "step"]).withColumnRenamed("step", "r_step")
     cells = reach.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("l_width") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("r_width") - 1))).filter("l_step != r_step or i <= j").select("sig", "l_step", "i", "r_step", "j")
@@ -369,8 +396,13 @@ def _crowded_pairs(crowded: DataFrame, classes: DataFrame) -> DataFrame:
     return left.union(right).groupBy("cell").applyInArrow(compare, "a long, a_lo long, b long, b_lo long")
 
 
-def _verified(docs: DataFrame, near: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs of ``near`` whose sets reach the threshold.
+def _width(size: Column) -> Column:
+    """How many blocks a group is cut into, by its rows and by the bytes that each holds."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(size) / BLOCK_BYTES)).cast("int").alias("width")
+
+
+def _verified(docs: DataFrame, near: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what the pairs of ``near`` whose sets reach the threshold come to, as ``near_links`` says; the stored table of blocks).
 
     Classes that pair with one another are put in blocks, by their least partner, and a
     set goes once to each two blocks that hold a pair of it, not to each pair. Sets are
@@ -380,13 +412,14 @@ def _verified(docs: DataFrame, near: DataFrame, classes: DataFrame) -> DataFrame
     sc = docs.sparkSession.sparkContext
     ends = near.select(F.col("a").alias("hi"), F.col("a_lo").alias("lo"), F.col("b").alias("other")).union(near.select("b", "b_lo", "a"))
     led = ends.groupBy("hi", "lo").agg(F.least(F.min("other"), F.col("hi")).alias("leader"))
-    width = led.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("width"))
-    placed = stored(led.join(width, "leader").select("hi", "lo", F.xxhash64("leader", F.pmod(F.xxhash64("hi", "lo"), F.col("width"))).alias("block")).join(classes.select("hi", "lo", "rep"), ["hi", "lo"]), "similar-blocks")
-    side = lambda x: placed.select(F.col("hi").alias(x), F.col("lo").alias(f"{x}_lo"), F.col("block").alias(f"{x}_block"), F.col("rep").alias(f"{x}_rep"))
+    led = led.join(classes.select("hi", "lo", "rep", "copies", "n"), ["hi", "lo"])
+    width = led.groupBy("leader").agg(_width(8 * F.col("n")))
+    placed = stored(led.join(width, "leader").select("hi", "lo", F.xxhash64("leader", F.pmod(F.xxhash64("hi", "lo"), F.col("width"))).alias("block"), "rep", "copies"), "similar-blocks")
+    side = lambda x: placed.select(F.col("hi").alias(x), F.col("lo").alias(f"{x}_lo"), F.col("block").alias(f"{x}_block"), F.col("rep").alias(f"{x}_rep"), F.col("copies").alias(f"{x}_copies"))
     celled = near.join(side("a"), ["a", "a_lo"]).join(side("b"), ["b", "b_lo"]).withColumn("cell", F.xxhash64(F.least("a_block", "b_block"), F.greatest("a_block", "b_block")))
     partner = F.struct(F.col("b").alias("hi"), F.col("b_lo").alias("lo"))
-    rows = celled.select("cell", F.col("a").alias("hi"), F.col("a_lo").alias("lo"), F.col("a_rep").alias("rep"), partner.alias("with")).union(celled.select("cell", "b", "b_lo", "b_rep", F.lit(None).cast("struct<hi: long, lo: long>")))
-    wanted = rows.groupBy("cell", "hi", "lo", "rep").agg(F.collect_list("with").alias("partners"))
+    rows = celled.select("cell", F.col("a").alias("hi"), F.col("a_lo").alias("lo"), F.col("a_rep").alias("rep"), F.col("a_copies").alias("copies"), partner.alias("with")).union(celled.select("cell", "b", "b_lo", "b_rep", "b_copies", F.lit(None).cast("struct<hi: long, lo: long>")))
+    wanted = rows.groupBy("cell", "hi", "lo", "rep", "copies").agg(F.collect_list("with").alias("partners"))
     bitmap = sc.broadcast(_bitmap(placed.select("rep")))
 
     def sets(batches):
@@ -404,32 +437,47 @@ def _verified(docs: DataFrame, near: DataFrame, classes: DataFrame) -> DataFrame
     found = map_arrow(texts(docs), sets, "doc_id long, hi long, lo long, features binary").alias("f")
     w = wanted.alias("w")
     on = F.col("f.doc_id").eqNullSafe(F.col("w.rep")) & (F.col("f.hi") == F.col("w.hi")) & (F.col("f.lo") == F.col("w.lo"))
-    ready = w.join(found, on).select("w.cell", "w.hi", "w.lo", "w.partners", "f.features")
+    ready = w.join(found, on).select("w.cell", "w.hi", "w.lo", "w.copies", "w.partners", "f.features")
 
     def verify(table):
         keys = list(zip(table.column("hi").to_pylist(), table.column("lo").to_pylist()))
         held = {k: np.frombuffer(f.as_buffer(), U64) for k, f in zip(keys, table.column("features"))}
-        done, out = set(), []
+        copies = dict(zip(keys, table.column("copies").to_pylist()))
+        more: dict[tuple[int, int], int] = {}
+        root: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def top(k):
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        done = set()
         for k, partners in zip(keys, table.column("partners").to_pylist()):
             if k in done:  # a repeated row
                 continue
             done.add(k)
             x = held[k]
             for p in partners:
-                y = held.get((p["hi"], p["lo"]))
+                other = (p["hi"], p["lo"])
+                y = held.get(other)
                 if y is None:
                     raise AssertionError("a set is missing from its cell")
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
                 if reaches(int(np.count_nonzero(y[at] == x)), len(x), len(y)):
-                    out.append((*k, p["hi"], p["lo"]))
-        got = np.array(out, np.int64).reshape(-1, 4)
-        return pa.table({c: pa.array(np.ascontiguousarray(got[:, i])) for i, c in enumerate(("a", "a_lo", "b", "b_lo"))})
+                    for one, two in ((k, other), (other, k)):
+                        more[one] = more.get(one, 0) + copies[two]
+                        root.setdefault(one, one)
+                    a, b = top(k), top(other)
+                    root[max(a, b)] = min(a, b)
+        got = np.array([(*k, n, *top(k)) for k, n in more.items()], np.int64).reshape(-1, 5)
+        return pa.table({c: pa.array(np.ascontiguousarray(got[:, i])) for i, c in enumerate(("hi", "lo", "more", "root_hi", "root_lo"))})
 
-    return ready.groupBy("cell").applyInArrow(verify, "a long, a_lo long, b long, b_lo long")
+    return ready.groupBy("cell").applyInArrow(verify, "hi long, lo long, more long, root_hi long, root_lo long"), placed
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable from each node of ``edges`` (u, v), by large and small stars.
 
     Each round is one group-by for each kind of star, on edges that no longer hold a hub's
@@ -457,15 +505,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Sets of shingles link when 5 * shared >= 4 * united (80 %). Equal sets are linked too.
     Null and empty texts, and such with white space alone, have no shingles, no links and
     their own doc_id as component. Rows that repeat a doc_id count as documents each, and a
-    null doc_id never names a component unless all of it are null. An empty table gives
-    no rows; other columns are not read.
+    null doc_id never names a component unless all of it are null. A similarity of 80 %
+    exactly is a link. Texts are taken whole, however long, each in memory as one slice. An
+    empty table gives no rows; other columns are not read.
     """
     members, classes, links = near_links(docs)
     classes = classes.select("hi", "lo", "copies", F.col("rep").alias("least"), F.xxhash64("hi", "lo").alias("node"))
-    sides = links.select("a", "a_lo", "b", "b_lo").union(links.select("b", "b_lo", "a", "a_lo"))
-    others = classes.select(F.col("hi").alias("b"), F.col("lo").alias("b_lo"), F.col("copies").alias("more"))
-    linked = sides.join(others, ["b", "b_lo"]).groupBy(F.col("a").alias("hi"), F.col("a_lo").alias("lo")).agg(F.sum("more").alias("more"))
-    edges = links.select(F.xxhash64("a", "a_lo").alias("u"), F.xxhash64("b", "b_lo").alias("v"))
+    linked = links.groupBy("hi", "lo").agg(F.sum("more").alias("more"))
+    edges = links.select(F.xxhash64("hi", "lo").alias("u"), F.xxhash64("root_hi", "root_lo").alias("v"))
     roots = components(edges)
     placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -478,7 +525,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their component (of repeated rows each); others go.
 
-    Rows with null doc_ids stay: they can't be told apart.
+    Rows with null doc_ids stay: they can't be told apart. Rows with null or empty texts
+    have no shingles and stay, too; so do both of two rows that repeat the least doc_id.
+    Columns of any name pass through. Texts are compared whole, however long; an empty
+    table gives no rows.
     """
     drop = near_duplicates(docs).filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(drop, docs["doc_id"] == drop["__gone"], "left_anti")
