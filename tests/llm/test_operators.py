@@ -566,6 +566,42 @@ def test_op6_blanks_and_marks():
         assert np.frombuffer(c.encode(t), "<i4").tolist() == sp.encode(t) and c.decode(c.encode(t)) == sp.decode(sp.encode(t))
 
 
+def test_op6_chunks_are_the_library(spark, docs):
+    """Cut anywhere, in words and in texts without a blank, chunks give the library's ids."""
+    import sentencepiece
+
+    sp, rng = sentencepiece.SentencePieceProcessor(model_file=MODEL), random.Random(12)
+    some = [t for t in texts(docs).values() if len(t) > 400]
+    made = [(i, t) for i, t in enumerate(rng.sample(some, 25))] + [(100 + i, t.replace(" ", "")[:5000]) for i, t in enumerate(rng.sample(some, 25))]
+    made += [(200 + i, "".join(rng.choice("ab \n\t▁é日ґ\U0001f600\x00.") for _ in range(rng.randint(0, 400)))) for i in range(200)]
+    made += [(500, None), (501, ""), (502, " " * 300), (503, "▁" * 300), (504, "x" * 2000), (505, "<s>" * 60), (505, "<s>" * 60), (None, "ab c " * 40)]
+    table = spark.createDataFrame(made, "doc_id long, text string").withColumn("ids", F.lit("clash")).repartition(5)
+    for size in (17, 64, 500):
+        got = sentence_pieces.encode_documents(table, MODEL, size).collect()
+        key = lambda x: (x[0] is None, x[0] or 0)
+        want = sorted(((i, sp.encode(t or "")) for i, t in made), key=key)
+        assert sorted(((r["doc_id"], r["ids"]) for r in got), key=key) == want
+        assert all(r["decoded"] == sp.decode(r["ids"]) for r in got)
+    whole, cut = rows(sentence_pieces.digests(table.filter("doc_id is not null"), MODEL)), rows(sentence_pieces.digests(table.filter("doc_id is not null"), MODEL, 33))
+    assert whole == cut and any(r["round_trip"] for r in cut.values()) and not cut[503]["round_trip"]
+
+
+def test_op6_matrices_combine_in_any_grouping(docs):
+    c, rng = sentence_pieces.Codec(MODEL), random.Random(13)
+    for _ in range(20):
+        t = sentence_pieces.MARK + rng.choice(list(texts(docs).values())).replace(" ", rng.choice(["", "▁"]))[:300]
+        cuts = [0, *sorted(rng.sample(range(20, max(21, len(t) - 20), 20), 3)), len(t)] if len(t) > 120 else [0, len(t)]
+        parts = [(maxplus.states_at(t, s, c.ranked) if s else [maxplus.BEGIN], s, e) for s, e in zip(cuts, cuts[1:])]
+        m = [maxplus.rank_transfer(t, s, e, entries, c.ranked, sentence_pieces.safe_borders(t, s, e)) for entries, s, e in parts]
+        whole = maxplus.rank_transfer(t, 0, len(t), [maxplus.BEGIN], c.ranked)
+        if len(m) == 4:
+            join = lambda a, k, b: maxplus.rank_combine(a, parts[k][0], b)  # noqa: B023, E731
+            left = join(join(join(m[0], 1, m[1]), 2, m[2]), 3, m[3])
+            right = join(m[0], 1, join(m[1], 2, join(m[2], 3, m[3])))
+            pairs = join(join(m[0], 1, m[1]), 2, join(m[2], 3, m[3]))
+            assert left == right == pairs == whole
+
+
 def test_op6_max_plus_against_the_plain_scan():
     rng = random.Random(3)
     for _ in range(200):
