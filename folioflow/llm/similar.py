@@ -22,6 +22,7 @@ pairs themselves are never written.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -201,7 +202,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     def meet(batches):
         """Members pass; the signatures of one bucket after the other, which come sorted, are brought together."""
-        now, waiting = None, []
+        now, waiting, met = None, [], Met()
         for batch in batches:
             kind = batch.column(0).to_numpy()
             keep = batch.filter(pa.array(kind == 0))
@@ -210,13 +211,14 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             for i in np.flatnonzero(kind == 1):
                 bucket = batch.column(1)[i].as_py()
                 if bucket != now:
-                    yield from together(waiting)
+                    yield from together(waiting, met)
                     now, waiting = bucket, []
                 waiting.append(np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8).copy())
-        yield from together(waiting)
+        yield from together(waiting, met)
+        yield from met.rows()
 
-    def together(blobs):
-        """Pairs of labels that share a signature, each once in the bucket; and the members of crowded signatures."""
+    def together(blobs, met):
+        """Pairs of labels that share a signature, each once while ``met`` holds it; and the members of crowded signatures."""
         if not blobs:
             return
         k = unwired(np.concatenate([b[: len(b) // 2] for b in blobs]))
@@ -233,23 +235,13 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         k, o = k[fresh], o[fresh]
         at = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]))
         m = np.diff(at)
-        found = np.empty((0, 2), U64)
-        waiting: list[np.ndarray] = []
-        many = 0
         for size in np.unique(m[(m > 1) & (m <= SMALL_GROUP)]):
             rows = o[at[:-1][m == size][:, None] + np.arange(size)]
             i, j = np.triu_indices(size, 1)
             step = max(1, (1 << 19) // len(i))
             for r in range(0, len(rows), step):
                 p = rows[r : r + step]
-                waiting.append(np.stack((p[:, i].ravel(), p[:, j].ravel()), 1))
-                many += len(waiting[-1])
-                if many > 1 << 21:
-                    found, waiting, many = _distinct(np.concatenate([found, *waiting])), [], 0
-        found = _distinct(np.concatenate([found, *waiting]))
-        for r in range(0, len(found), 1 << 16):
-            p = found[r : r + (1 << 16)].view(np.int64)
-            yield _meeting(1, len(p), hi=p[:, 0], lo=p[:, 1])
+                yield from met.add(np.stack((p[:, i].ravel(), p[:, j].ravel()), 1))
         for g in np.flatnonzero(m > SMALL_GROUP):
             part = o[at[g] : at[g + 1]].view(np.int64)
             for r in range(0, len(part), 1 << 16):
@@ -279,6 +271,36 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return members, classes, links
 
 
+class Met:
+    """Pairs met so far, each once; up to MOST of them wait for those of the next buckets, as a pair shares many signatures."""
+
+    MOST = 1 << 21
+
+    def __init__(self):
+        self.found = np.empty((0, 2), U64)
+        self.waiting: list[np.ndarray] = []
+        self.many = 0
+
+    def add(self, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.waiting.append(pairs)
+        self.many += len(pairs)
+        if self.many > self.MOST:
+            self.settle()
+            if len(self.found) > self.MOST // 2:
+                yield from self.rows()
+
+    def settle(self) -> None:
+        self.found = _distinct(np.concatenate([self.found, *self.waiting]))
+        self.waiting, self.many = [], 0
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self.settle()
+        for r in range(0, len(self.found), 1 << 16):
+            p = self.found[r : r + (1 << 16)].view(np.int64)
+            yield _meeting(1, len(p), hi=p[:, 0], lo=p[:, 1])
+        self.found = np.empty((0, 2), U64)
+
+
 def _distinct(p: np.ndarray) -> np.ndarray:
     if not len(p):
         return p
