@@ -20,6 +20,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -183,13 +184,13 @@ def pruned(counts: Counter, most: int) -> Counter:
     """At most ``most`` of the counts, less the greatest of those left out: what was counted more often than that stays."""
     if len(counts) <= most:
         return counts
-    top = counts.most_common(most + 1)
-    least = top[-1][1]
-    return Counter({w: n - least for w, n in top[:-1] if n > least})
+    n = np.fromiter(counts.values(), np.int64, len(counts))
+    least = int(np.partition(n, len(n) - most - 1)[len(n) - most - 1])
+    return Counter({w: k - least for w, k in counts.items() if k > least})
 
 
 def frequent_pre_tokens(docs: DataFrame, most: int = FREQUENT) -> list[str]:
-    """The pre-tokens that are frequent in all of ``docs``, ``most`` of them at most; of equal counts those that were met first."""
+    """The pre-tokens that are frequent in all of ``docs``, ``most`` of them at most."""
 
     def rows(counts: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([list(counts)], pa.list_(pa.string())), pa.array([list(counts.values())], pa.list_(pa.int64()))], ["words", "n"])
@@ -201,10 +202,10 @@ def frequent_pre_tokens(docs: DataFrame, most: int = FREQUENT) -> list[str]:
                 for block, blank in blocks(r.decode()) if r else ():
                     found.update(s for s in stretches(block, blank) if len(s) <= CACHED_CHARS)
             if len(found) > 16 * most:
-                found = pruned(found, 8 * most)
+                found = pruned(found, 4 * most)
         pieces: Counter = Counter()
-        for s, n in found.items():
-            for w in _split(surface(s)):
+        for s, n in pruned(found, 4 * most).items():
+            for w in [" " + s] if s.isalpha() else _split(surface(s)):
                 pieces[w] += n
         if pieces:
             yield rows(pruned(pieces, most))
