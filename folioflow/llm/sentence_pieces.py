@@ -35,8 +35,8 @@ _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _SAFE = re.compile(f"[^{MARK}](?={MARK})")
 CACHE_ENTRIES = 400_000
 CACHED_CHARS = 64
-#: Code points of a chunk; longer texts are cut.
-CHUNK = 1 << 15
+#: Code points of a chunk; longer texts are cut. What a chunk costs besides its encoding is a table row and the borders, some thousand characters' worth.
+CHUNK = 1 << 16
 
 
 class Codec:
