@@ -30,9 +30,13 @@ def _col(c: Column | str) -> Column:
 
 
 def without_lone_surrogates(raw_json: Column | str) -> Column:
-    """JSON text with each unpaired surrogate escape replaced by that of U+FFFD, keys included; twice, as matches may touch."""
+    """JSON text with each unpaired surrogate escape replaced by that of U+FFFD, keys included; twice, as matches may touch.
+
+    Text without any surrogate escape never meets the pattern.
+    """
     fix = lambda c: F.regexp_replace(c, _LONE, r"$1\\uFFFD")
-    return fix(fix(_col(raw_json)))
+    raw = _col(raw_json)
+    return F.when(raw.contains("\\uD") | raw.contains("\\ud"), fix(fix(raw))).otherwise(raw)
 
 
 def strip(c: Column | str) -> Column:

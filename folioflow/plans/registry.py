@@ -34,6 +34,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table for work that costs much more than reading it: one of fewer partitions than there are cores is spread over them; a larger one is never shuffled."""
+    df, cores = _read(spark, sf_dir, table), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # layout blocks out of lines
 
 PAGE_LINES = 12
@@ -41,7 +47,7 @@ PAGE_LINES = 12
 
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-level blocks: doc_id, page_pos, page_idx, section, root, type, text, bbox."""
-    lines = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lines = _spread(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     at = F.col("i") % PAGE_LINES
     kind = F.when(at == 0, "title").when(at.isin(3, 8), "image").when(at == 9, "aside_text").when(at == 10, "header").when(at == 11, "footer").otherwise("text")
     box = F.struct((at * 7 % 5 * 20.0).alias("x0"), (at * 11 % 12 * 10.0).alias("y0"), (at * 7 % 5 * 20.0 + 15).alias("x1"), (at * 11 % 12 * 10.0 + 8).alias("y1"))
@@ -128,7 +134,7 @@ def merged_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, raw): a layout of one page for each document: a block for each line, a child for each of its sentences."""
-    docs = _read(spark, sf_dir, "documents")
+    docs = _spread(spark, sf_dir, "documents")
     sentence = lambda s: F.struct(F.lit("sentence").alias("type"), F.array(F.struct(F.array(F.struct(F.lit("text").alias("type"), s.alias("content"), F.concat(F.length(s).cast("string"), F.lit(".png")).alias("image_path"))).alias("spans"))).alias("lines"))
     kind = lambda i: F.when(i % 4 == 0, "title").when(i % 4 == 1, "list").otherwise("text")
     block = lambda line, i: F.struct(kind(i).alias("type"), i.alias("index"), F.array(F.struct(F.array(F.struct(F.lit("text").alias("type"), line.alias("content"))).alias("spans"))).alias("lines"), F.when(kind(i) == "text", F.transform(F.split(line, r"\. "), sentence)).alias("blocks"))
@@ -205,7 +211,7 @@ SELECT doc_id, n AS normalized, {_CUT.format("n")} AS cut, replace(trim(regexp_r
   replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM t
 """)
 def text_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
+    docs = _spread(spark, sf_dir, "documents")
     n = text.normalize("text", unicode_forms=False)
     return docs.select("doc_id", n.alias("normalized"), text.truncate(n).alias("cut"), text.cell_text("text").alias("cell"), text.html_escaped("text").alias("escaped"))
 
@@ -251,7 +257,7 @@ def latex_to_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def latex_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
+    docs = _spread(spark, sf_dir, "documents")
     return docs.select("doc_id", latex.math_text(F.concat(F.lit("\\alpha _ { i } ( 0 . 5 ) { a b c } "), "text"), True, False).alias("shown"))
 
 
@@ -392,7 +398,7 @@ def cache_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = F.to_json(F.struct(F.lit("p").alias("pdf_path"), F.lit("o").alias("outdir"), F.lit(0).alias("page_idx"), F.lit("image").alias("block_type"), F.concat(F.lit("i"), (F.col("user_id") % 200).cast("string")).alias("image_path")))
     screening, understanding = F.lit('{"kind":"seal","rag_value":"low","detail_level":"short"}'), F.to_json(F.struct(F.array(F.lit("k")).alias("keywords"), F.concat(F.lit("note "), F.col("event_id").cast("string")).alias("notes")))
     line = F.concat(F.lit("["), F.concat_ws(",", F.lit(config), F.lit(config), ref, screening, understanding), F.lit("]"))
-    lines = _read(spark, sf_dir, "events").filter("event_type <> 'error'").select(F.lit("o").alias("outdir"), F.col("event_id").alias("line_no"), line.alias("value"))
+    lines = _spread(spark, sf_dir, "events").filter("event_type <> 'error'").select(F.lit("o").alias("outdir"), F.col("event_id").alias("line_no"), line.alias("value"))
     return enrichment.load_cache(lines).select("image_path", F.col("understanding.notes").alias("notes"))
 
 

@@ -15,12 +15,15 @@ _SHIPPED = "spark.folioflow.shipped"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor shares, from ``spark.checkpoint.dir``.
 
-    Where the cluster names none (local tests), one is made and set on the session.
+    Where none is named, a local session (tests) gets one of its own. On a cluster that is
+    an error: what one executor writes to its own disk no other can read.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folioflow-shared-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -30,11 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
-    This cuts the lineage at files that outlive any executor.
+    This cuts the lineage at files that outlive any executor. They go with ``forget``, or
+    when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioflow/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    made.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(made)
     return spark.read.schema(df.schema).parquet(path)
 
 

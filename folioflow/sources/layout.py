@@ -8,6 +8,8 @@ plans, no Python and no shuffle. Every relation carries the keys that order it:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from folioflow.functions.text import without_lone_surrogates
 SECTIONS = ("para_blocks", "discarded_blocks", "preproc_blocks")
 PARA, DISCARDED, PREPROC = 0, 1, 2
 #: Levels of nested blocks that are opened; a deeper tree is an error, not a loss.
-MAX_DEPTH = 64
+MAX_DEPTH = 256
 
 DOMAINS = {
     "block_type": ("image", "chart", "seal"),
@@ -27,17 +29,23 @@ DOMAINS = {
 }
 
 
-#: Results lie below folders of this name, which Spark's listing skips as hidden unless it is named, and so many levels down at most.
-DATA_FOLDER, DATA_LEVELS = "__data", 8
+#: Results lie below folders of this name, which Spark's listing skips as hidden unless it is named.
+DATA_FOLDER = "__data"
 
 
 def _data_folders(spark: SparkSession, path: str) -> list[str]:
-    found = []
-    for level in range(DATA_LEVELS):
-        pattern = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/*" * level + "/" + DATA_FOLDER)
-        fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
-        found += [f.getPath().toString() for f in fs.globStatus(pattern) or [] if f.isDirectory()]
-    return found
+    """The folders of this name below ``path``, at any depth; what lies below one of them is found through it."""
+    start = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = start.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, level = [], [start] if fs.exists(start) else []
+    while level:
+        below = []
+        for folder in level:
+            for f in fs.listStatus(folder):
+                if f.isDirectory():
+                    (found if f.getPath().getName() == DATA_FOLDER else below).append(f.getPath())
+        level = below
+    return [f.toString() for f in found]
 
 
 def scan(spark: SparkSession, path: str, file_name: str = "middle.json") -> DataFrame:
@@ -51,7 +59,8 @@ def parsed(raw: DataFrame) -> DataFrame:
 
     Both a bare layout and a result file around one are taken.
     """
-    whole = raw.withColumn("__whole", F.try_parse_json(without_lone_surrogates("raw")))
+    # behind a generator, so that no later projection parses again
+    whole = raw.select("*", F.explode(F.array(F.try_parse_json(without_lone_surrogates("raw")))).alias("__whole"))
     inner = F.try_variant_get("__whole", "$.middle", "variant")
     return whole.withColumn("doc", F.coalesce(inner, F.col("__whole"))).withColumn("result", F.when(inner.isNotNull(), F.col("__whole"))).drop("__whole")
 
@@ -112,13 +121,17 @@ def _children(nodes: Column) -> Column:
 
 
 def tree(roots: Column, depth: int = MAX_DEPTH) -> Column:
-    """All blocks of a list of VARIANT blocks, with their paths, in one array."""
+    """All blocks of a list of VARIANT blocks, with their paths, in one array; ``depth`` is a square number of levels."""
     first = F.transform(roots, lambda v, i: _node(F.array(i), F.lit(None).cast("int"), v))
     start = F.struct(first.alias("all"), first.alias("last"))
     # the next level is bound once, as the one element of an array
-    step = lambda acc, _: F.element_at(F.transform(F.array(_children(acc["last"])), lambda n: F.struct(F.concat(acc["all"], n).alias("all"), n.alias("last"))), 1)
+    more = lambda acc: F.element_at(F.transform(F.array(_children(acc["last"])), lambda n: F.struct(F.concat(acc["all"], n).alias("all"), n.alias("last"))), 1)
+    # an empty level ends the fold: of the outer steps, each of several levels, those left cost nothing
+    go = lambda acc, then: F.when(F.size(acc["last"]) == 0, acc).otherwise(then)
+    few = math.isqrt(depth)
+    step = lambda acc, _: go(acc, F.aggregate(F.sequence(F.lit(1), F.lit(few)), acc, lambda inner, _: go(inner, more(inner))))
     end = lambda acc: F.when(F.size(acc["last"]) > 0, F.raise_error(F.lit(f"blocks nest deeper than {depth}")).cast(f"array<{_NODE}>")).otherwise(acc["all"])
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, step, end)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth // few)), start, step, end)
 
 
 def _box(v: Column, path: str = "$.bbox") -> Column:
@@ -149,10 +162,14 @@ def blocks(parsed_docs: DataFrame, sections: tuple[int, ...] = (PARA, DISCARDED,
     )
 
 
+def _text_or_list(v: Column, path: str) -> Column:
+    """A text, or a list of texts as one; null where there is neither."""
+    return F.coalesce(F.array_join(F.try_variant_get(v, path, "array<string>"), ""), F.try_variant_get(v, path, "string"))
+
+
 def content_text(content: Column) -> Column:
     """A content that is a text or a list of texts, as one text; null as the empty one."""
-    is_list = F.schema_of_variant(content).startswith("ARRAY")
-    return F.when(content.isNull() | F.is_variant_null(content), F.lit("")).when(is_list, F.array_join(F.try_variant_get(content, "$", "array<string>"), "")).otherwise(F.try_variant_get(content, "$", "string"))
+    return F.coalesce(_text_or_list(content, "$"), F.lit(""))
 
 
 _SUMMARY = "struct<kind string, rag_value string, detail_level string, keywords array<string>, notes string, short_description string, long_description string>"
@@ -183,10 +200,7 @@ def lines_of(block: Column) -> Column:
     """A block's own lines: for each the texts of its spans, null where a span has no content."""
     line_spans = lambda line: F.coalesce(F.try_variant_get(line, "$.spans", "array<variant>"), F.array().cast("array<variant>"))
 
-    def text(span: Column) -> Column:
-        c = F.try_variant_get(span, "$.content", "variant")
-        return F.when(c.isNotNull() & ~F.coalesce(F.is_variant_null(c), F.lit(False)), content_text(c))
-
+    text = lambda span: _text_or_list(span, "$.content")
     return F.transform(F.coalesce(F.try_variant_get(block, "$.lines", "array<variant>"), F.array().cast("array<variant>")), lambda line: F.transform(line_spans(line), text))
 
 

@@ -36,7 +36,7 @@ def test_tree_order_owner_and_depth(spark):
 
 def test_too_deep_is_an_error(spark):
     b = block("x")
-    for _ in range(70):
+    for _ in range(260):
         b = block("x", blocks=[b])
     with pytest.raises(Exception, match="deeper"):
         layout.blocks(parsed(spark, {"pdf_info": [page(0, [b])]})).collect()
