@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import json
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import image_file, item_key, pdf_of
-from folioflow.operators import evaluation, images, rendering, reports
+from folioflow.operators import enrichment, evaluation, images, rendering, reports
 from folioflow.plans import conversion
+from folioflow.runtime import stored
 from folioflow.sources import files, layout
 
 
@@ -26,6 +28,24 @@ def _load(name: str | None):
     return getattr(importlib.import_module(module), attribute)
 
 
+def _models(a: argparse.Namespace) -> conversion.Models | None:
+    """The two models of the command line; their configurations go without keys."""
+    if not a.with_image_understanding:
+        return None
+    made, configs = [], []
+    for kind, role in (("screening", "screen"), ("understanding", "understand")):
+        model, url, key = (getattr(a, f"image_{kind}_{x}") for x in ("model", "base_url", "api_key"))
+        if not model:
+            raise ValueError(f"--with-image-understanding needs --image-{kind}-model")
+        rate = enrichment.price_table().get(model)
+        config = {"model": model, "thinking": False, "base_url": url, "pricing": rate and dict(zip(("input_per_million_usd", "output_per_million_usd"), rate))}
+        configs.append(json.dumps({k: v for k, v in config.items() if v is not None}, separators=(",", ":")))
+        made.append((_load(a.clients), role, model, url, key))
+    if not a.clients:
+        raise ValueError("--with-image-understanding needs --clients")
+    return conversion.Models(*(make(role, model, url, key) for make, role, model, url, key in made), *configs)
+
+
 def _write(path: str | None, text: str) -> None:
     if path is None:
         print(text, end="")
@@ -44,6 +64,14 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--extractor", required=True)
     for name in ("backend", "method", "lang", "server-url"):
         c.add_argument(f"--{name}")
+    c.add_argument("--with-image-understanding", action="store_true", help="merge discarded blocks, and describe images by models")
+    c.add_argument("--clients", help="makes a model's client: of (screen or understand, model, base URL, API key) a function from an image's columns to JSON text")
+    for kind in ("screening", "understanding"):
+        c.add_argument(f"--image-{kind}-model")
+        c.add_argument(f"--image-{kind}-base-url")
+        c.add_argument(f"--image-{kind}-api-key")
+    c.add_argument("--html-converter", help="by default pandoc, where it is installed")
+    c.add_argument("--resume", action="store_true", help="keep results that the folder holds for the same file and options")
     c.add_argument("--limit", type=int, help="only the first files by path")
     for name, text in (("disable-seal", None), ("disable-formula", None), ("keep-going", "report failed files and go on")):
         c.add_argument(f"--{name}", action="store_true", help=text)
@@ -107,13 +135,20 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     spark = spark or SparkSession.builder.getOrCreate()
     if a.command == "convert":
         options = {"backend": a.backend, "method": a.method, "lang": a.lang, "server_url": a.server_url, "seal_enable": not a.disable_seal, "formula_enable": not a.disable_formula}
-        md, failed = conversion.convert(files.pdf_files(spark, a.folder, a.limit), conversion.Conversion(_load(a.extractor), options))
-        bad = failed.collect()
+        pdfs = files.pdf_files(spark, a.folder, a.limit)
+        out = a.outdir.rstrip("/")
+        there = a.resume and Path(out).exists()
+        saved = conversion.saved_results(_parsed(spark, out)) if there else None
+        cache = enrichment.load_cache(enrichment.read_cache(spark, out)) if there else None
+        job = conversion.Conversion(_load(a.extractor), {k: v for k, v in options.items() if v is not None}, _models(a), rendering.FOR_RAG if a.with_image_understanding else rendering.RenderOptions(), out)
+        made, new, failed = conversion.results(pdfs, job, saved, cache)
+        bad = failed.orderBy("path").collect()
         for r in bad:
             print(f"failed: {r['path']}: {r['error']}")
         if bad and not a.keep_going:
             return 1
-        files.write_text_files(md, a.outdir)
+        # kept results are read from the files that are about to be written
+        conversion.save(stored(made, "converted"), new, job.render, _load(a.html_converter) or rendering.pandoc())
         return int(bool(bad))
     if a.command == "render":
         preset = {"plain": rendering.RenderOptions(), "rag": rendering.FOR_RAG, "html": rendering.FOR_HTML}[a.preset]
@@ -121,7 +156,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         md = rendering.document_markdown(rendering.page_markdown(layout.pages(_parsed(spark, a.folder)), options))
         if a.link_pdf:
             md = md.withColumn("markdown", rendering.with_pdf_link(F.col("markdown"), pdf_of("doc_id")))
-        files.write_text_files(rendering.markdown_to_html(md, _load(a.html_converter)), a.outdir)
+        files.write_text_files(rendering.markdown_to_html(md, _load(a.html_converter) or rendering.pandoc()), a.outdir)
         return 0
     if a.command == "refs":
         refs = _refs(spark, a.folder)

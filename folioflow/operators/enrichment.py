@@ -10,11 +10,12 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.runtime import ship
-from folioflow.sources.layout import DOMAINS
+from folioflow.runtime import forget, ship, stored
+from folioflow.sources.layout import DOMAINS, data_folders
 
 PRICES = {
     "Qwen/Qwen3.6-35B-A3B-FP8": (0.0, 0.0),
@@ -165,24 +166,25 @@ def load_cache(lines: DataFrame) -> DataFrame:
     return last.select(*CACHE_KEY, "last.screening", "last.understanding")
 
 
-def cache_lines(answers: DataFrame) -> DataFrame:
-    """``answers`` (key columns, screening, understanding) as lines to append: an array of five each."""
+def cache_lines(answers: DataFrame, *more: str) -> DataFrame:
+    """``answers`` (key columns, screening, understanding) as lines to append: an array of five each; ``more`` of their columns ahead."""
     ref = F.to_json(F.struct(*CACHE_KEY[2:]))
-    return answers.select(F.concat(F.lit("["), F.concat_ws(",", "screening_config", "understanding_config", ref, F.to_json("screening"), F.to_json("understanding")), F.lit("]")).alias("value"))
+    return answers.select(*more, F.concat(F.lit("["), F.concat_ws(",", "screening_config", "understanding_config", ref, F.to_json("screening"), F.to_json("understanding")), F.lit("]")).alias("value"))
 
 
 def valid_screening(s: Column) -> Column:
     return s["kind"].isin(*DOMAINS["kind"]) & s["rag_value"].isin(*DOMAINS["rag_value"]) & s["detail_level"].isin(*DOMAINS["detail_level"])
 
 
-def _ask(rows: DataFrame, ask: Callable[[dict], str], name: str) -> DataFrame:
-    """``rows`` with what ``ask`` answers to each (as a dict of its columns), a JSON text, in column ``name``."""
+def _ask(rows: DataFrame, ask: Callable[[dict], str], name: str, unless: str | None = None) -> DataFrame:
+    """``rows`` with what ``ask`` answers to each (as a dict of its columns), a JSON text, in column ``name``; null, and not asked, where column ``unless`` is true."""
     ship(rows.sparkSession)
     columns = rows.columns
+    skip = None if unless is None else columns.index(unless)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(**{name: [ask(dict(zip(columns, r))) for r in pdf.itertuples(index=False, name=None)]})
+            yield pdf.assign(**{name: [None if skip is not None and r[skip] else ask(dict(zip(columns, r))) for r in pdf.itertuples(index=False, name=None)]})
 
     from pyspark.sql import types as T
 
@@ -197,17 +199,19 @@ def screened(refs: DataFrame, ask: Callable[[dict], str]) -> DataFrame:
 
 
 def understood(screened_refs: DataFrame, ask: Callable[[dict], str]) -> DataFrame:
-    """``screened_refs`` with ``understanding``; images to skip take the screening's notes and no model sees them."""
-    skip = F.col("screening.detail_level") == "skip"
-    plain = F.struct(F.array().cast("array<string>").alias("keywords"), F.lit(None).cast("string").alias("short_description"), F.lit(None).cast("string").alias("long_description"), F.col("screening.notes").alias("notes"))
-    asked = _ask(screened_refs.filter(~skip), ask, "__raw").withColumn("understanding", F.from_json("__raw", UNDERSTANDING))
+    """``screened_refs`` with ``understanding``, in one pass; images to skip take the screening's notes and no model sees them."""
+    plain = F.struct(F.array().cast("array<string>").alias("keywords"), F.lit(None).cast("string").alias("short_description"), F.lit(None).cast("string").alias("long_description"), F.col("screening.notes").alias("notes")).cast(UNDERSTANDING)
+    asked = _ask(screened_refs.withColumn("__skip", F.col("screening.detail_level") == "skip"), ask, "__raw", unless="__skip").withColumn("understanding", F.from_json("__raw", UNDERSTANDING))
     bad = F.raise_error(F.concat(F.lit("not a description: "), F.col("__raw"))).cast(UNDERSTANDING)
-    asked = asked.withColumn("understanding", F.when(F.col("understanding.keywords").isNotNull(), F.col("understanding")).otherwise(bad)).drop("__raw")
-    return screened_refs.filter(skip).withColumn("understanding", plain.cast(UNDERSTANDING)).unionByName(asked)
+    return asked.withColumn("understanding", F.when(F.col("__skip"), plain).when(F.col("understanding.keywords").isNotNull(), F.col("understanding")).otherwise(bad)).drop("__raw", "__skip")
 
 
 def answered(refs: DataFrame, cache: DataFrame, screen: Callable[[dict], str], understand: Callable[[dict], str]) -> tuple[DataFrame, DataFrame]:
-    """(all refs with screening and understanding, what is new to the cache). ``refs`` holds the key columns; equal refs are asked once."""
+    """(all refs with screening and understanding, what is new to the cache). ``refs`` holds the key columns; equal refs are asked once.
+
+    Screenings and then new answers are stored ahead of any use, so that however often the
+    results are read, a model sees an image once (twice only where its task is lost).
+    """
     mark = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in CACHE_KEY])
     wanted = refs.select(*CACHE_KEY).distinct().withColumn("__mark", mark)
     known = cache.withColumn("__mark", mark)
@@ -218,7 +222,9 @@ def answered(refs: DataFrame, cache: DataFrame, screen: Callable[[dict], str], u
     w, k = wanted.alias("w"), known.alias("k")
     hits = w.join(k, on, "inner").select("w.*", "k.screening", "k.understanding").drop("__mark")
     misses = w.join(k, on, "left_anti").drop("__mark")
-    new = understood(screened(misses, screen), understand)
+    shown = stored(screened(misses, screen), "screenings")
+    new = stored(understood(shown, understand), "answers")
+    forget(shown)
     return hits.unionByName(new), new
 
 
@@ -240,12 +246,17 @@ def embedded(spans: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of cache files below ``path`` as (outdir, line_no, value); none where there is no file."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", CACHE_FILE)
+    """The lines of cache files below ``path`` as (outdir, line_no, value), read line by line, so that a file of any size is split; none where there is no file.
+
+    ``line_no`` orders the lines of a file: by the block they are in, then by their place there.
+    """
     try:
-        files = reader.text(path, wholetext=True)
-    except Exception as e:  # a folder that isn't there is an empty cache
-        if "PATH_NOT_FOUND" not in str(e):
+        lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", CACHE_FILE).text([path, *data_folders(spark, path)])
+    except AnalysisException as e:  # a folder that isn't there is an empty cache
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "outdir string, line_no int, value string")
-    return files.select(F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1).alias("outdir"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+        return spark.createDataFrame([], "outdir string, line_no long, value string")
+    folder = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1), "^file:/+", "/")
+    # splits of a file lie in separate partitions or follow each other in one; the low bits count within a partition
+    block, here = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    return lines.select(folder.alias("outdir"), (block * (1 << 20) + here % (1 << 33)).alias("line_no"), "value")

@@ -248,5 +248,40 @@ def markdown_to_html(markdown: DataFrame, convert=None) -> DataFrame:
     return markdown.withColumn("html", eq_to_mathjax(run("markdown")))
 
 
+#: What stands in the head of each page.
+PAGE_HEADER = """<style>
+body { margin: 2rem auto; max-width: 54rem; padding: 0 1rem; font-family: sans-serif; line-height: 1.6; color: #222; }
+img { max-width: 100%; height: auto; }
+table { border-collapse: collapse; display: block; overflow-x: auto; margin: 1rem 0; }
+th, td { border: 1px solid #bbb; padding: 0.25rem 0.6rem; vertical-align: top; }
+pre { background: #f4f4f4; padding: 0.8rem; overflow-x: auto; }
+.image-understanding { border-left: 3px solid #8ab; margin: 0.6rem 0; padding: 0.3rem 0.8rem; background: #f2f6fa; }
+.source-image-link-row { font-size: 0.8rem; }
+.source-image-link { text-decoration: none; }
+</style>
+"""
+
+
+def pandoc(header: str | None = PAGE_HEADER):
+    """A converter for ``markdown_to_html`` by the pandoc program: a whole page, dollars as mathematics; None where there is no pandoc or it fails."""
+
+    def convert(markdown: str) -> str | None:
+        import shutil
+        import subprocess
+        import tempfile
+
+        program = shutil.which("pandoc")
+        if program is None:
+            return None
+        with tempfile.NamedTemporaryFile("w", suffix=".html", encoding="utf-8") as head:  # of this process alone, gone at the end
+            head.write(header or "")
+            head.flush()
+            more = ["--include-in-header", head.name] if header else []
+            got = subprocess.run([program, "--standalone", "--mathjax", "--from", "markdown+tex_math_dollars", *more], input=markdown, capture_output=True, text=True, encoding="utf-8")
+        return got.stdout if got.returncode == 0 else None
+
+    return convert
+
+
 def with_prefix(options: RenderOptions, prefix: str) -> RenderOptions:
     return replace(options, image_prefix=prefix)

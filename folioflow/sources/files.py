@@ -76,6 +76,14 @@ def text_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("place", F.trim("value").alias("value")).filter("value != ''")
 
 
+def typed_json(spark: SparkSession, wanted: DataFrame, path: str, schema: str) -> DataFrame:
+    """(path, value) of each wanted file (column ``path``) below ``path``, read by ``schema``; value is null where the file is missing, and a file that doesn't fit is an error."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    value = F.from_json("raw", schema, {"mode": "FAILFAST"})
+    clean = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    return wanted.select("path", clean(F.col("path")).alias("__p")).join(raw.select(clean(F.col("path")).alias("__p"), value.alias("value")), "__p", "left").drop("__p")
+
+
 def existing(spark: SparkSession, wanted: DataFrame, path: str) -> DataFrame:
     """Which of the wanted paths (column ``path``) aren't there."""
     return wanted.join(binary_files(spark, path, recursive=True).select("path"), "path", "left_anti")
@@ -129,9 +137,53 @@ def to_json(df: DataFrame, defaults: dict[str, object] | None = None) -> Column:
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "true"})
 
 
-def write_text_files(rows: DataFrame, folder: str) -> None:
-    """Text rows (doc_id, and a column for each kind of file) as Parquet partitions of one job; Spark's commit makes it all or nothing."""
-    rows.write.mode("overwrite").parquet(folder)
+def _write_one(path: str, text: str, append: bool) -> None:
+    """A whole file by a name of its own that is then moved, so that no reader and no lost task sees a part."""
+    import uuid
+
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+    system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    data = text.encode()
+    if append and system.get_file_info(place).type == fs.FileType.File:
+        with system.open_input_stream(place) as f:
+            old = f.read()
+        if old.endswith(data):  # a task that ran again
+            return
+        data = old + data
+    part = f"{place}.{uuid.uuid4().hex}.tmp"
+    with system.open_output_stream(part) as f:
+        f.write(data)
+    system.move(part, place)
+
+
+def write_each(rows: DataFrame, append: bool = False) -> int:
+    """Writes each row (path, text) as a file of its own from the task that holds it, whole or not at all; the number of files. ``append`` puts the text behind what is there."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, text in zip(pdf["path"], pdf["text"]):
+                _write_one(path, text, append)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return rows.select("path", "text").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+
+
+def write_text_files(rows: DataFrame, folder: str) -> int:
+    """``<folder>/<name>/text.md`` and, where there is one, ``text.html`` of each row (doc_id, markdown, html); ``name`` is the document's own folder or file name, with a digest where names are equal."""
+    path = F.regexp_replace("doc_id", "^[a-z]+:/+", "/")
+    own = F.when(path.endswith("/middle.json"), F.regexp_replace(path, "/middle.json$", "")).otherwise(F.regexp_replace(path, r"\.[A-Za-z0-9]+$", ""))
+    named = rows.withColumn("__own", own).withColumn("__name", F.regexp_extract("__own", "([^/]*)$", 1))
+    again = named.groupBy("__name").agg((F.count_distinct("__own") > 1).alias("__again"))
+    named = named.join(again, "__name").withColumn("__to", F.concat(F.lit(folder.rstrip("/") + "/"), "__name", F.when(F.col("__again"), F.concat(F.lit("-"), F.substring(F.sha2("__own", 256), 1, 12))).otherwise("")))
+    out = None
+    for name, column in (("text.md", "markdown"), ("text.html", "html")):
+        if column in rows.columns:
+            part = named.filter(F.col(column).isNotNull()).select(F.concat("__to", F.lit("/" + name)).alias("path"), F.col(column).alias("text"))
+            out = part if out is None else out.unionByName(part)
+    return write_each(out)
 
 
 def write_lines(rows: DataFrame, path: str, mode: str = "overwrite") -> None:

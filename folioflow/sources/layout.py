@@ -33,7 +33,7 @@ DOMAINS = {
 DATA_FOLDER = "__data"
 
 
-def _data_folders(spark: SparkSession, path: str) -> list[str]:
+def data_folders(spark: SparkSession, path: str) -> list[str]:
     """The folders of this name below ``path``, at any depth; what lies below one of them is found through it."""
     start = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = start.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -50,7 +50,7 @@ def _data_folders(spark: SparkSession, path: str) -> list[str]:
 
 def scan(spark: SparkSession, path: str, file_name: str = "middle.json") -> DataFrame:
     """(doc_id, raw) of each layout file below a folder, found recursively; doc_id is the file's path."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_name).text([path, *_data_folders(spark, path)], wholetext=True)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_name).text([path, *data_folders(spark, path)], wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("raw"))
 
 

@@ -51,6 +51,48 @@ def test_answers_and_cache(spark, tmp_path):
     assert E.load_cache(broken).count() == 0
 
 
+def test_models_see_an_image_once(spark, tmp_path):
+    """However often both results are read; skipped images are not described."""
+    shown, told = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(f, acc):
+        def ask(row):
+            acc.add(1)
+            return f(row)
+
+        return ask
+
+    got, new = E.answered(refs(spark, *"abcdefghis"), no_cache(spark), counted(screen, shown), counted(understand, told))
+    for df in (new, got, new, got.filter("image_path = 'a'")):
+        df.write.mode("overwrite").parquet(str(tmp_path / "o"))
+    assert (shown.value, told.value) == (10, 9) and got.count() == new.count() == 10
+
+
+def test_cache_files_are_read_by_lines(spark, tmp_path):
+    for k in ("a", "__data/b"):
+        (tmp_path / k).mkdir(parents=True)
+        (tmp_path / k / E.CACHE_FILE).write_text("\n".join(f"{k} {i}" for i in range(2000)) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = E.read_cache(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 3
+        got = [r["value"] for r in lines.filter(F.col("outdir").endswith("/b")).orderBy("line_no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"__data/b {i}" for i in range(2000)] and lines.count() == 4000
+    assert E.read_cache(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_typed_json_with_missing_files(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"a": 3}')
+    wanted = spark.createDataFrame([(str(tmp_path / "x.json"),), (str(tmp_path / "y.json"),)], "path string")
+    got = {r["path"][-6:]: r["value"] for r in files.typed_json(spark, wanted, str(tmp_path), "a int").collect()}
+    assert got["x.json"]["a"] == 3 and got["y.json"] is None
+    (tmp_path / "y.json").write_text('{"a": "x')
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        files.typed_json(spark, wanted, str(tmp_path), "a int").collect()
+
+
 def test_answers_outside_the_sets_fail(spark):
     with pytest.raises(Exception, match="not a screening"):
         E.screened(refs(spark, "a"), lambda r: '{"kind": "cat", "rag_value": "low", "detail_level": "short"}').collect()

@@ -1,9 +1,10 @@
 import json
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators.rendering import FOR_HTML, FOR_RAG, RenderOptions, Renderer, document_markdown, markdown_to_html, page_markdown, with_prefix
+from folioflow.operators.rendering import FOR_HTML, FOR_RAG, PAGE_HEADER, RenderOptions, Renderer, document_markdown, markdown_to_html, page_markdown, pandoc, with_prefix
 from folioflow.operators.tables import expanded, table_markdown, tables_markdown
 from folioflow.sources import layout
 
@@ -102,6 +103,15 @@ def test_html_conversion(spark):
     assert got["e"] is None and got["d"].endswith('<span class="math inline">\\(y\\)</span></p>')
 
 
+def test_pandoc_gets_the_page_header(tmp_path, monkeypatch):
+    monkeypatch.setenv("PATH", str(tmp_path))
+    assert pandoc()("# hello") is None
+    program = tmp_path / "pandoc"
+    program.write_text(f"#!{sys.executable}\nimport sys\nhead = open(sys.argv[sys.argv.index('--include-in-header') + 1]).read() if '--include-in-header' in sys.argv else ''\ntext = sys.stdin.read()\nsys.exit(3) if 'bad' in text else print(head + text, end='')\n")
+    program.chmod(0o755)
+    assert pandoc()("# hello") == PAGE_HEADER + "# hello" and pandoc(None)("x") == "x" and pandoc()("bad") is None
+
+
 @pytest.mark.parametrize("kind", ["caption", "vertical_text", "algorithm_caption"])
 def test_text_types(kind):
     assert show(bl(kind, sp("text", "x"))) == "x"

@@ -1,9 +1,13 @@
 import json
+import sys
 
+from pyspark import cloudpickle
 
 from folioflow import cli
 from folioflow.operators import reports
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def runs_file(path):
     rows = []
@@ -52,7 +56,7 @@ def test_layout_commands(spark, tmp_path, capsys):
     (folder / "middle.json").write_text(json.dumps({"middle": doc, "source_path": "f.pdf"}))
     assert cli.main(["validate", str(tmp_path / "x")], spark) == 0 and "files=1 failed=0" in capsys.readouterr().out
     assert cli.main(["render", str(tmp_path / "x"), "--outdir", str(tmp_path / "md"), "--link-pdf"], spark) == 0
-    assert spark.read.parquet(str(tmp_path / "md")).head()["markdown"].endswith("/x/f.pdf)\n\n## T")
+    assert (tmp_path / "md" / "f.pdf" / "text.md").read_text().endswith("/x/f.pdf)\n\n## T")
     for kind in ("txt", "json", "html"):
         assert cli.main(["refs", str(tmp_path / "x"), "--out", str(tmp_path / kind), "--format", kind], spark) == 0
     assert text_of(tmp_path / "txt").strip().endswith("/x/__data/f.pdf/images/i.png")
@@ -63,6 +67,62 @@ def test_layout_commands(spark, tmp_path, capsys):
     assert cli.main(["validate", str(tmp_path / "x")], spark) == 1
 
 
+def extract(raw, options):
+    lines = raw.decode().split("\n")
+    page = {"page_idx": 0, "page_size": [9, 9], "para_blocks": [{"type": "text", "lines": [{"spans": [{"type": "text", "content": x}]}]} for x in lines]}
+    body = {"type": "image_body", "lines": [{"spans": [{"type": "image", "image_path": lines[0] + ".png"}]}]}
+    page["para_blocks"].append({"type": "image", "index": 5, "blocks": [body]})
+    page["discarded_blocks"] = [{"type": "header", "lines": [{"spans": [{"type": "text", "content": "head"}]}]}, {"type": "page_number", "lines": [{"spans": [{"type": "text", "content": "7"}]}]}]
+    return json.dumps({"pdf_info": [page]})
+
+
+def client(role, model, url, key):
+    def ask(row):
+        with open(key, "a") as f:
+            f.write(f"{role} {row['image_path']}\n")
+        if role == "screen":
+            return json.dumps({"kind": "seal", "rag_value": "low", "detail_level": "skip" if row["image_path"].startswith("s") else "short", "notes": None})
+        return json.dumps({"keywords": ["k"], "short_description": "seen " + row["image_path"]})
+
+    return ask
+
+
+def page_of(markdown):
+    return f"<body>{markdown}</body>"
+
+
+def test_convert_command(spark, tmp_path):
+    """Files on disk, models asked once, results kept when run again, and caches by folder."""
+    (tmp_path / "in").mkdir()
+    for name, text in (("a", "alpha\nmore"), ("s", "solo")):
+        (tmp_path / "in" / f"{name}.pdf").write_text(text)
+    out, calls = tmp_path / "out", tmp_path / "calls"
+    me = "tests.test_reports"
+    models = ["--with-image-understanding", "--clients", f"{me}:client", "--image-screening-model", "gpt-5-nano", "--image-understanding-model", "gpt-5", "--image-screening-api-key", str(calls), "--image-understanding-api-key", str(calls)]
+    args = ["convert", str(tmp_path / "in"), "--outdir", str(out), "--extractor", f"{me}:extract", "--html-converter", f"{me}:page_of", "--resume"]
+    assert cli.main(args, spark) == 0
+    assert (out / "a" / "text.md").read_text() == "alpha\n\nmore" and "<body>alpha" in (out / "a" / "text.html").read_text()
+    first = json.loads((out / "a" / "middle.json").read_text())
+    assert first["source_path"] == str(tmp_path / "in" / "a.pdf") and first["parameters"]["with_image_understanding"] is False and first["extracted_by"] == "pipeline"
+    assert cli.main(args + models, spark) == 0
+    want = ["screen alpha.png", "screen solo.png", "understand alpha.png"]
+    assert sorted(calls.read_text().split("\n")[:-1]) == want
+    made = json.loads((out / "a" / "middle.json").read_text())
+    kinds = [b["type"] for b in made["middle"]["pdf_info"][0]["para_blocks"]]
+    assert kinds.count("header") == 1 and "page_number" not in kinds and made["middle"]["_header_text_first_page"] == {"head": 0}
+    assert "description: seen alpha.png" in (out / "a" / "text.md").read_text() and "seen" not in (out / "s" / "text.md").read_text()
+    assert made["parameters"]["image_understanding_model"] == "gpt-5" and str(calls) not in (out / "a" / "middle.json").read_text()
+    cached = {n: (out / n / "image_understanding_cache.jsonl").read_text().strip().split("\n") for n in "as"}
+    assert [len(v) for v in cached.values()] == [1, 1] and json.loads(cached["a"][0])[0]["model"] == "gpt-5-nano"
+    # nothing has changed: neither extraction nor models run; a lost result takes its answers from the cache
+    before = (out / "a" / "text.md").read_text()
+    assert cli.main(args + models, spark) == 0 and sorted(calls.read_text().split("\n")[:-1]) == want
+    assert (out / "a" / "text.md").read_text() == before
+    (out / "a" / "middle.json").unlink()
+    assert cli.main(args + models, spark) == 0 and sorted(calls.read_text().split("\n")[:-1]) == want
+    assert (out / "a" / "text.md").read_text() == before
+
+
 def test_report_html_lists():
     got = reports.report_html("# a\n- x\n- y\n1. z\n![c](p.svg)\ntext\n")
     assert "<ul>\n<li>x</li>\n<li>y</li>\n</ul>\n<ol>\n<li>z</li>\n</ol>" in got and '<img src="p.svg"' in got and "<p>text</p>" in got
