@@ -195,11 +195,14 @@ def layout_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-SELECT doc_id, chr(65533) || 'x' AS fixed FROM documents
+SELECT doc_id, lang || chr(65533) || 'x' || chr(128512) || source || chr(65533) AS fixed, '\\ud840' || doc_id AS spelled FROM documents
 """)
 def lone_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _read(spark, sf_dir, "documents").select("doc_id", F.lit('{"t": "\\\\ud840x"}'.replace("\\\\", "\\")).alias("raw"))
-    return raw.select("doc_id", F.try_variant_get(F.try_parse_json(text.without_lone_surrogates("raw")), "$.t", "string").alias("fixed"))
+    lone, pair, low = "\\ud840", "\\ud83d\\ude00", "\\udc00"
+    key = F.col("doc_id").cast("string")
+    body = F.concat(F.lit('{"t' + low + '": "'), F.col("lang"), F.lit(lone + "x" + pair), F.col("source"), F.lit(low + '", "s": "\\\\ud840'), key, F.lit('"}'))
+    raw = _read(spark, sf_dir, "documents").select("doc_id", F.try_parse_json(text.without_lone_surrogates(body)).alias("v"))
+    return raw.select("doc_id", F.try_variant_get("v", "$.t\ufffd", "string").alias("fixed"), F.try_variant_get("v", "$.s", "string").alias("spelled"))
 
 
 # text functions
@@ -212,7 +215,8 @@ SELECT doc_id, n AS normalized, {_CUT.format("n")} AS cut, replace(trim(regexp_r
 """)
 def text_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _spread(spark, sf_dir, "documents")
-    n = text.normalize("text", unicode_forms=False)
+    # wide digits and blanks are folded to plain ones
+    n = text.normalize(F.translate("text", "0123456789 ", "\uff10\uff11\uff12\uff13\uff14\uff15\uff16\uff17\uff18\uff19\u3000"))
     return docs.select("doc_id", n.alias("normalized"), text.truncate(n).alias("cut"), text.cell_text("text").alias("cell"), text.html_escaped("text").alias("escaped"))
 
 
@@ -255,12 +259,6 @@ def latex_to_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").select("p_partkey", latex.to_unicode(e).alias("shown"))
 
 
-@_query()
-def latex_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _spread(spark, sf_dir, "documents")
-    return docs.select("doc_id", latex.math_text(F.concat(F.lit("\\alpha _ { i } ( 0 . 5 ) { a b c } "), "text"), True, False).alias("shown"))
-
-
 @_query("""
 SELECT n_regionkey, chr(10) || '| nation | key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) || chr(10) AS markdown FROM nation GROUP BY n_regionkey
 """)
@@ -427,14 +425,16 @@ def seed_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-SELECT doc_id, screened || chr(10) || chr(10) || 'Screening result:' || chr(10) || '- kind: seal' || chr(10) || '- rag_value: low' || chr(10) || '- detail_level: short' AS context FROM (
-  SELECT doc_id, 'PDF path: p.pdf' || chr(10) || 'Out directory: out' || chr(10) || 'Page index: ' || (doc_id % 5) || chr(10) || 'Block index: ' || coalesce(nullif(doc_id % 4, 0)::VARCHAR, 'None') || chr(10) || 'Block type: image' || CASE WHEN lang = 'en' THEN chr(10) || 'Section title: ' || source ELSE '' END AS screened FROM documents)
+SELECT doc_id, screened || chr(10) || chr(10) || 'Screening result:' || chr(10) || '- kind: seal' || chr(10) || '- rag_value: low' || chr(10) || '- detail_level: short' || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '- screening_notes: ' || lang ELSE '' END AS context FROM (
+  SELECT doc_id, lang, 'PDF path: p.pdf' || chr(10) || 'Out directory: out' || chr(10) || 'Page index: ' || (doc_id % 5) || chr(10) || 'Block index: ' || coalesce(nullif(doc_id % 4, 0)::VARCHAR, 'None') || chr(10) || 'Block type: image' || CASE WHEN lang = 'en' THEN chr(10) || 'Section title: ' || source ELSE '' END
+    || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Caption: ' || source ELSE '' END || CASE WHEN doc_id % 7 <> 0 THEN chr(10) || 'Nearby text before: ' || text ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'Nearby text after: ' || lang ELSE '' END AS screened FROM documents)
 """)
 def prompt_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.lit(None).cast("string")
-    refs = _read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).alias("page_idx"), F.nullif(F.col("doc_id") % 4, F.lit(0)).alias("block_index"), F.lit("image").alias("block_type"), F.when(F.col("lang") == "en", F.col("source")).alias("section_title"), n.alias("caption"), n.alias("nearby_text_before"), n.alias("nearby_text_after"))
+    i = F.col("doc_id")
+    near = {"section_title": F.when(F.col("lang") == "en", F.col("source")), "caption": F.when(i % 2 == 0, F.col("source")), "nearby_text_before": F.when(i % 7 != 0, F.col("text")), "nearby_text_after": F.when(i % 5 == 0, F.col("lang"))}
+    refs = _read(spark, sf_dir, "documents").select("doc_id", (i % 5).alias("page_idx"), F.nullif(i % 4, F.lit(0)).alias("block_index"), F.lit("image").alias("block_type"), F.when(i % 3 == 0, F.col("lang")).alias("notes"), *[c.alias(k) for k, c in near.items()])
     shown = images.screening_context(F.lit("p.pdf"), F.lit("out"))
-    return refs.select("doc_id", images.understanding_context(shown, F.lit("seal"), F.lit("low"), F.lit("short"), n).alias("context"))
+    return refs.select("doc_id", images.understanding_context(shown, F.lit("seal"), F.lit("low"), F.lit("short"), F.col("notes")).alias("context"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -447,3 +447,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from folioflow.plans import document_queries  # noqa: E402, F401  (registers its queries; it needs the helpers above)
