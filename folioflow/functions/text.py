@@ -5,12 +5,14 @@ White space is Unicode-aware, which Java's plain ``\\s`` and Spark's ``trim`` ar
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.pandas.types import from_arrow_type
 
 #: What the layout's own language strips: the separators that Unicode knows, and controls 1C-1F.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -46,26 +48,56 @@ def strip(c: Column | str) -> Column:
 
 def collapse_space(c: Column | str) -> Column:
     """Each run of white space as one blank, none at the ends."""
-    return strip(F.regexp_replace(_col(c), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(_col(c), f"{SPACE}+", " "))
 
 
 def without_space(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), f"{SPACE}+", "")
 
 
-@F.pandas_udf(StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def by_slices(fn: Callable, kind: pa.DataType = pa.string(), most: int = 1 << 20):
+    """An Arrow function of one text column; null stays null. A batch is worked on in slices of some ``most`` bytes, so that its texts are never all Python objects at once."""
+
+    @F.arrow_udf(from_arrow_type(kind))
+    def run(a: pa.Array) -> pa.Array:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(a), 0).cast(pa.int64())).to_pylist()
+        parts, at = [], 0
+        while at < len(a):
+            to, done = at + 1, ends[at - 1] if at else 0
+            while to < len(a) and ends[to] - done <= most and to - at < 4096:
+                to += 1
+            parts.append(pa.array([None if x is None else fn(x) for x in a.slice(at, to - at).to_pylist()], kind))
+            at = to
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return run
+
+
+_BLANKS = re.compile("[ \t]+")
 
 
 def normalize(c: Column | str, unicode_forms: bool = True) -> Column:
     """NFKC, ideographic blanks and tabs as blanks, runs of them as one, stripped.
 
-    Spark has no NFKC. ASCII needs none, so ``unicode_forms=False`` keeps plain-ASCII
-    columns inside code generation; otherwise one Arrow function does it.
+    Spark has no NFKC, so one Arrow function does all of it. ASCII needs none, so
+    ``unicode_forms=False`` keeps plain-ASCII columns inside code generation.
     """
-    c = _nfkc(_col(c)) if unicode_forms else _col(c)
-    return strip(F.regexp_replace(F.replace(c, F.lit("\u3000"), F.lit(" ")), r"[ \t]+", " "))
+    if unicode_forms:
+        fold, blanks = unicodedata.normalize, _BLANKS  # nothing of this package is named in the workers
+
+        def one(x: str) -> str:
+            return blanks.sub(" ", x if x.isascii() else fold("NFKC", x).replace("\u3000", " ")).strip()
+
+        return by_slices(one)(_col(c))
+    return strip(F.regexp_replace(F.replace(_col(c), F.lit("\u3000"), F.lit(" ")), r"[ \t]+", " "))
+
+
+def bound(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(c)`` with ``c`` worked out once, however often ``fn`` names it."""
+    return F.element_at(F.transform(F.array(c), fn), 1)
 
 
 def truncate(c: Column | str, most: int = MAX_CONTEXT) -> Column:
