@@ -48,9 +48,9 @@ FROM customer
 """)
 def spanning_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit('<table><tr><th rowspan="2">a'), F.col("c_custkey").cast("string"), F.lit('</th><th colspan="2"> '), F.col("c_name"), F.lit('</th></tr><tr><td>x|y</td><td rowspan="x">'), F.col("c_nationkey").cast("string"), F.lit("</td></tr><tr><td><eq> \\beta _ 1 </eq></td></tr></table>"))
-    c = _read(spark, sf_dir, "customer").select("c_custkey", html.alias("html"))
-    mode = lambda m: tables.html_tables_to_markdown(F.col("html"), m)
-    return c.select("c_custkey", mode("blank").alias("blank"), mode("repeat").alias("repeated"), mode("keep_html").alias("kept"), text.eq_to_mathjax("html").alias("shown"))
+    c = _spread(spark, sf_dir, "customer").select("c_custkey", html.alias("html"))
+    made = c.select("c_custkey", "html", tables.html_tables_in_modes(F.col("html"), tables.MODES).alias("made"))
+    return made.select("c_custkey", F.col("made.blank").alias("blank"), F.col("made.repeat").alias("repeated"), F.col("made.keep_html").alias("kept"), text.eq_to_mathjax("html").alias("shown"))
 
 
 # rendering of every kind of block

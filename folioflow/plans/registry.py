@@ -34,10 +34,36 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of columns, uncompressed, for which a spread table has a partition, if these are more than the cores.
+_SPREAD_BYTES = 32 << 20
+
+
+def _row_groups(spark: SparkSession, names: list[str]) -> tuple[list[int], int]:
+    """(rows of each row group, bytes of all) of Parquet files, by their footers."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    rows, size = [], 0
+    for name in names:
+        found = jvm.org.apache.parquet.hadoop.ParquetFileReader.readFooter(conf, jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))).getBlocks()
+        for g in found:
+            rows.append(g.getRowCount())
+            size += g.getTotalByteSize()
+    return rows, size
+
+
 def _spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table for work that costs much more than reading it: one of fewer partitions than there are cores is spread over them; a larger one is never shuffled."""
+    """A table for work that costs much more than reading it: where its row groups, which one task reads each, leave cores idle, it is spread over them.
+
+    Partitions don't tell: a file of one row group is cut into many, of which one has all rows.
+    A table of many files is never shuffled.
+    """
     df, cores = _read(spark, sf_dir, table), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    names = df.inputFiles()
+    if len(names) >= 4 * cores:
+        return df
+    rows, size = _row_groups(spark, names)
+    if sum(rows) >= cores * max(rows, default=0):
+        return df
+    return df.repartition(max(cores, -(-size // _SPREAD_BYTES)))
 
 
 # layout blocks out of lines
