@@ -133,10 +133,8 @@ SELECT doc_id, {_rendered_sql(False, False)} AS plain, {_rendered_sql(True, Fals
 """)
 def rendered_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = layout.pages(layout.parsed(part_pages(spark, sf_dir)))
-    shown = None
-    for name, options in (("plain", rendering.RenderOptions()), ("rag", rendering.FOR_RAG), ("html", rendering.FOR_HTML)):
-        md = rendering.document_markdown(rendering.page_markdown(pages, options)).withColumnRenamed("markdown", name)
-        shown = md if shown is None else shown.join(md, "doc_id")
+    options = {"plain": rendering.RenderOptions(), "rag": rendering.FOR_RAG, "html": rendering.FOR_HTML}
+    shown = rendering.document_markdown(rendering.page_markdowns(pages, options), tuple(options))
     title = F.substring_index("plain", "\n", 1)
     return shown.withColumn("linked", rendering.with_pdf_link(title, F.concat(F.lit("x/"), F.col("doc_id").cast("string"), F.lit(".pdf"))))
 

@@ -1,10 +1,14 @@
 import json
 import sys
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators.rendering import FOR_HTML, FOR_RAG, PAGE_HEADER, RenderOptions, Renderer, document_markdown, markdown_to_html, page_markdown, pandoc, with_prefix
+from folioflow.functions.text import by_slices
+from folioflow.operators import tables
+from folioflow.operators.rendering import FOR_HTML, FOR_RAG, PAGE_HEADER, RenderOptions, Renderer, document_markdown, markdown_to_html, page_markdown, page_markdowns, pandoc, with_prefix
 from folioflow.operators.tables import expanded, table_markdown, tables_markdown
 from folioflow.sources import layout
 
@@ -115,3 +119,32 @@ def test_pandoc_gets_the_page_header(tmp_path, monkeypatch):
 @pytest.mark.parametrize("kind", ["caption", "vertical_text", "algorithm_caption"])
 def test_text_types(kind):
     assert show(bl(kind, sp("text", "x"))) == "x"
+
+
+def test_pages_are_opened_once_for_several_options(spark):
+    pages = spark.createDataFrame([(1, 1, '{"para_blocks":[{"type":"title","level":9,"lines":[{"spans":[{"type":"inline_equation","content":"\\\\alpha"}]}]}]}'), (1, 0, "{}"), (2, 0, None)], "doc_id int, page_pos int, raw string").select("doc_id", "page_pos", F.parse_json("raw").alias("page"))
+    options = {"plain": RenderOptions(), "html": FOR_HTML}
+    made = document_markdown(page_markdowns(pages, options), tuple(options))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EvalPython") == 1 and "Join" not in plan
+    assert sorted(map(tuple, made.collect())) == [(1, "###### $\\alpha$", "###### $α$"), (2, "", "")]
+
+
+def test_texts_are_worked_on_in_slices_of_some_bytes():
+    many = pa.array(["\uff41 b" * 20_000] * 300)
+    tracemalloc.start()
+    try:
+        made = by_slices(lambda x: x.replace("\uff41", "a")).func(many)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(made) == 300 and made[299].as_py() == "a b" * 20_000 and peak < 8 << 20 < many.nbytes // 2
+    assert by_slices(str.upper).func(pa.array(["a", None, "", "b"])).to_pylist() == ["A", None, "", "B"]
+
+
+def test_a_table_is_parsed_once_for_all_modes(monkeypatch):
+    seen = []
+    monkeypatch.setattr(tables, "_Tree", lambda html, old=tables._Tree: seen.append(html) or old(html))
+    html = "a " + html_table("th x|2", "td y", None, "td z") + " b"
+    assert tables.tables_in_modes(html, tables.MODES) == tuple(tables_markdown(html, m) for m in tables.MODES)
+    assert len(seen) == 4
