@@ -6,7 +6,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from folioflow.operators import enrichment as E
-from folioflow.operators import evaluation
+from folioflow.operators import evaluation, merging
 from folioflow.plans import conversion
 from folioflow.sources import files, layout
 from folioflow.streaming.enrichment import enrich_stream
@@ -147,6 +147,28 @@ def test_conversion_reports_failures(spark, tmp_path):
     assert files.backend_options("hybrid-x", "ocr")["method"] == "hybrid_ocr"
 
 
+def test_described_results_are_made_once(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"x\ny")
+    from folioflow.plans import document_queries as Q
+
+    job = conversion.Conversion(Q._extract, models=Q._STUBS, outdir="/out")
+    made, _, _ = conversion.results(files.pdf_files(spark, str(tmp_path)), job)
+    assert "MapInPandas" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["markdown"].count("<image_summary>") for r in conversion.markdown(made, Q.rendering.FOR_RAG).collect()] == [1]
+
+
+def test_order_needs_the_texts_of_few_blocks(spark):
+    page = {"page_idx": 0, "page_size": [9, 9], "para_blocks": [], "discarded_blocks": []}
+    line = lambda kind, text, at: {"type": kind, "bbox": [0, at, 9, at + 1], "lines": [{"spans": [{"type": "text", "content": text}]}]}
+    first = page | {"para_blocks": [line("text", "a", 1), line("header", "h one", 0), line("text", "b", 5)], "discarded_blocks": [line("header", "h two", 0), line("aside_text", "xy", 2), line("aside_text", "long one", 3)]}
+    second = page | {"page_idx": 1, "para_blocks": [line("text", "c", 2)], "discarded_blocks": [line("header", "h one", 0), line("header", "h two", 0), line("footer", "new", 8)]}
+    raw = spark.createDataFrame([(1, json.dumps({"pdf_info": [first, second]}))], "doc_id int, raw string")
+    blocks = layout.blocks(layout.parsed(raw), (layout.PARA, layout.DISCARDED)).filter("depth = 0").withColumn("root", F.get("path", 0))
+    assert {"a", "b", "c"} == {r["text"] for r in merging.with_slashed_text(blocks).collect()} - {r["text"] for r in merging.with_text_that_matters(blocks).collect()}
+    order = lambda with_text: sorted(tuple(r) for r in merging.merged_order(with_text(blocks).drop("block")).select("page_pos", "place", "section", "root").collect())
+    assert order(merging.with_text_that_matters) == order(merging.with_slashed_text) and len(order(merging.with_slashed_text)) == 7
+
+
 def test_reuse(spark):
     p = lambda lang, images: {"lang": lang, "with_image_understanding": images, "image_screening_model": "m" if images else None, "image_understanding_model": None}
     kind = "struct<lang: string, with_image_understanding: boolean, image_screening_model: string, image_understanding_model: string>"
