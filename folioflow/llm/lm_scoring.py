@@ -36,16 +36,16 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import U64, bucket_of, buckets_for, by_bucket, hash_words, joined, map_arrow, mix, pack, slices, sum_by_key, texts, unpack
 from folioflow.runtime import shuffle_partitions, stored
 
-DEPTH = 4
+DEPTH = 5
 FOLDS, FOLD = 7, 2
 #: Nodes in a broadcast block, 16 bytes each.
-NODES_IN_BLOCK = 5_000_000
+NODES_IN_BLOCK = 2_000_000
 #: Bytes of text whose distinct grams a task holds where there are several blocks.
-HELD = 48 << 20
+HELD = 12 << 20
 #: Words of the broadcast tier, 16 bytes each.
 FREQUENT_WORDS = 1 << 20
 END = U64(0xE4D0E4D0E4D0E4D1)
-_KEEP_SUMS = 1 << 19
+_KEEP_SUMS = 1 << 18
 
 
 def is_held_out(doc_id: int) -> bool:
@@ -123,12 +123,17 @@ def stop_weight(a: np.ndarray, b: np.ndarray, children: np.ndarray | None) -> tu
     return np.exp(own - math.log(2) - total), total
 
 
+def rarer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The estimate of the rarer bit, negative where that is a zero: the other's would round to 1 at 2^24 counts, and leave nothing for this one."""
+    return np.where(b <= a, (b + 0.5) / (a + b + 1), -(a + 0.5) / (a + b + 1)).astype(np.float32)
+
+
 def climb(key: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int, least: int) -> tuple[list[tuple[np.ndarray, ...]], tuple[np.ndarray, ...]]:
-    """From the full-depth nodes up to depth ``least``: (key, weight, probability of a one) by depth, and what goes to the depth above: (context and node, zeros, ones, log probabilities)."""
+    """From the full-depth nodes up to depth ``least``: (key, weight, estimate of the rarer bit) by depth, and what goes to the depth above: (context and node, zeros, ones, log probabilities)."""
     out, below = [], None
     for d in range(depth, least - 1, -1):
         w, total = stop_weight(a, b, below)
-        out.append((key | (U64(d) << U64(56)), w.astype(np.float32), ((b + 0.5) / (a + b + 1)).astype(np.float32)))
+        out.append((key | (U64(d) << U64(56)), w.astype(np.float32), rarer(a, b)))
         if d == 0:
             return out, (key, a, b, total)
         context, node = key >> U64(8), key & U64(0xFF)
@@ -144,7 +149,7 @@ class Tree:
 
     def __init__(self, key: np.ndarray, weight: np.ndarray, one: np.ndarray, depth: int):
         order = np.argsort(key)
-        self.key, self.weight, self.one, self.depth = key[order], weight[order], one[order], depth
+        self.key, self.weight, self.one, self.depth = key[order], weight[order], one[order], depth  # one: see ``rarer``
         self.seen = np.full(self.SLOTS, ~U64(0), U64)
         self.value = np.zeros(self.SLOTS, np.float64)
 
@@ -156,15 +161,17 @@ class Tree:
             return out - 8 * math.log(2)
         for k in range(8):
             node = (U64(1) << U64(k)) | (symbol >> U64(8 - k))
+            bit = (symbol >> U64(7 - k)) & U64(1) == 1
             p = np.full(len(code), 0.5)
             for d in range(self.depth, -1, -1):
                 key = _key(d, context & U64((1 << (8 * d)) - 1), node)
                 at = np.searchsorted(self.key, key)
                 at[at == len(self.key)] = 0
                 found = self.key[at] == key
-                mixed = self.weight[at] * self.one[at].astype(np.float64) + (1 - self.weight[at].astype(np.float64)) * p
-                p = np.where(found, mixed, 0.5)
-            out += np.log(np.where((symbol >> U64(7 - k)) & U64(1) == 1, p, 1 - p))
+                w, rare = self.weight[at].astype(np.float64), self.one[at].astype(np.float64)
+                own = np.where((rare > 0) == bit, np.abs(rare), 1 - np.abs(rare))
+                p = np.where(found, w * own + (1 - w) * p, 0.5)
+            out += np.log(p)
         return out
 
     def log_probability(self, code: np.ndarray) -> np.ndarray:
@@ -258,7 +265,7 @@ def gathered(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def _top(model: DataFrame, depth: int) -> tuple[np.ndarray, ...]:
-    """(key, weight, one) of depths one and none: 65,535 nodes at most. Partial sums are merged in tasks first."""
+    """(key, weight, estimate of the rarer bit) of depths one and none: 65,535 nodes at most. Partial sums are merged in tasks first."""
 
     def merge(batches):
         got = [unpack(d, "u8", "f8", "f8", "f8") for b in batches for d in b.column(2).to_pylist()]
@@ -271,10 +278,10 @@ def _top(model: DataFrame, depth: int) -> tuple[np.ndarray, ...]:
         return np.empty(0, U64), np.empty(0, np.float32), np.empty(0, np.float32)
     key, a, b, p = _summed(*map(np.concatenate, zip(*got)))
     w, total = stop_weight(a, b, p)
-    one = [(key | (U64(1) << U64(56)), w.astype(np.float32), ((b + 0.5) / (a + b + 1)).astype(np.float32))]
+    one = [(key | (U64(1) << U64(56)), w.astype(np.float32), rarer(a, b))]
     key, a, b, p = _summed(key & U64(0xFF), a, b, total)
     w, _ = stop_weight(a, b, p)
-    one.append((key, w.astype(np.float32), ((b + 0.5) / (a + b + 1)).astype(np.float32)))
+    one.append((key, w.astype(np.float32), rarer(a, b)))
     return tuple(np.concatenate(x) for x in zip(*one))
 
 

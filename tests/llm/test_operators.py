@@ -955,6 +955,22 @@ def test_op10_learns(docs):
     assert 1 < np.mean(bits) < 4
 
 
+def test_op10_rare_bits_of_frequent_contexts_stay_finite():
+    code, _ = lm_scoring.grams([b"aaaa"], 3)
+    nodes, _ = lm_scoring.climb(*lm_scoring.leaves(np.unique(code), np.full(len(np.unique(code)), 1 << 40), 3), 3, 0)
+    tree = lm_scoring.Tree(*[np.concatenate(x) for x in zip(*nodes)], 3)
+    never = lm_scoring.grams([b"aaa\x81"], 3)[0]
+    assert np.isfinite(tree.evaluate(never)).all() and tree.evaluate(never)[3] < 40 * -math.log(2)
+
+
+def test_op10_held_out_scores_against_base_scores(spark):
+    rng = random.Random(5)
+    words = [chr(97 + i) + "tion" + chr(97 + 7 * i % 20) for i in range(20)]  # the last letter hangs on the fifth byte ahead of it
+    d = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(1, 401)], "doc_id long, text string")
+    got = lm_scoring.score(d).filter("held_out").collect()
+    assert len(got) > 30 and all(math.isfinite(r["score"]) and r["score"] > 1.06 * r["base_score"] for r in got)
+
+
 def test_word_hashes():
     rng = random.Random(2)
     t = " ".join("".join(rng.choice("abcé\t") for _ in range(rng.randint(0, 9))) for _ in range(4000)).encode()
